@@ -258,9 +258,9 @@ def search_index(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     Each query goes to every shard of its dimension, a shard's queries in blocks of bounded size; a query gets at most
     `results` rows from each.
     """
-    shards = index.select("shard", "dimension").distinct()
-    asked = usable(queries, id_col, vector_col).withColumn("dimension", F.size("vector")).join(F.broadcast(shards), "dimension")
-    found = index.groupBy("shard", "dimension").cogroup(asked.groupBy("shard", "dimension")).applyInPandas(_searcher(results, breadth), _FOUND)
+    shards = index.select(F.col("shard").alias("to_shard"), F.col("dimension").alias("in_dimension")).distinct()
+    asked = usable(queries, id_col, vector_col).join(shards, F.size("vector") == F.col("in_dimension"))
+    found = index.groupBy("shard", "dimension").cogroup(asked.groupBy("to_shard", "in_dimension")).applyInPandas(_searcher(results, breadth), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= results).select("query_id", "rank", "vec_id", "score")
 

@@ -80,6 +80,15 @@ class SubwordModel:
             n += len(ids)
         return total / n + self.bias
 
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, its probability, and whether it is rejected."""
+        words = LETTERS.findall((text or "").lower())
+        if not words or not self.languages:
+            return "und", 0.0, True
+        p = softmax(self.logits(words) / self.temperature)
+        best = int(p.argmax())
+        return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
+
     @classmethod
     def train(cls, rows: list[tuple[str, list[str]]], *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 7) -> SubwordModel:
         """rows: (language, words); every CALIBRATION-th is kept for calibration."""
@@ -140,14 +149,8 @@ def _predictor(shared, fold: int | None, folds: int):
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = LETTERS.findall((text.as_py() or "").lower())
                 held_out = doc_id is not None and fold is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
-                if not words or not model.languages:
-                    out.append((doc_id, held_out, "und", 0.0, True))
-                    continue
-                p = softmax(model.logits(words) / model.temperature)
-                best = int(p.argmax())
-                out.append((doc_id, held_out, model.languages[best], float(p[best]), bool(p[best] < model.threshold)))
+                out.append((doc_id, held_out, *model.predict(text.as_py())))
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 5, (pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.bool_()), strict=True)], names=_PREDICTED.names)
 
     return run
@@ -190,6 +193,18 @@ def predict_language(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predictor(shared, fold, folds), _PREDICTED)
 
 
+def keep_accepted(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:
+    """The rows, whole, whose language is not rejected; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not shared.value.predict(t.as_py())[2] for t in batch.column(place)], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_language(docs, train_language_model(docs))
