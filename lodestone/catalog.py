@@ -1,19 +1,488 @@
-"""Registry of the engine's queries over the test tables."""
+"""Registry of the engine's queries over the test tables, each with its DuckDB form where SQL has one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import govern, ids, query, text, urls
+from lodestone.operators import anchors, crawl, documents, merge, search, verify
+from lodestone.session import table
+from lodestone.sources.workspace import selected_paths
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return add
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return search_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+# DuckDB forms of shared expressions
+def _fold(x: str) -> str:
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in query.STOPWORDS) + "]"
+_LOW = "(" + ", ".join(f"'{w}'" for w in query.LOW_SIGNAL) + ")"
+_COLLAPSE = r"trim(regexp_replace({0}, '[\s\x0B]+', ' ', 'g'))"
+_TOKENS = f"list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_@.-]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, {_fold('t')}))"
+_WEIGHT = f"CASE WHEN {_fold('t')} IN {_LOW} THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END"
+_LINES = "CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
+
+
+def _planned(source: str) -> str:
+    return f"""q0 AS (SELECT query_id, {_COLLAPSE.format('raw')} AS query FROM ({source})),
+q1 AS (SELECT query_id, query, {_TOKENS} AS found FROM q0 WHERE query <> ''),
+q AS (SELECT query_id, query, {_fold('query')} AS folded,
+    list_slice(list_filter(found, lambda t, i: list_position(found, t) = i), 1, 12) AS tokens FROM q1)"""
+
+
+def _search_sql(source: str, limit: int, relaxed: str = "TRUE", exact: str = "TRUE") -> str:
+    held = f"list_filter(tokens, lambda t: contains({{0}}, {_fold('t')}))"
+    weights = f"coalesce(list_sum(list_transform({{0}}, lambda t: {_WEIGHT})), 0)::DOUBLE"
+    return f"""
+WITH {_planned(source)},
+f AS (SELECT source || '/' || doc_id || '.txt' AS path, text, {_LINES} AS a FROM documents WHERE strlen(text) <= 1000000),
+u AS (SELECT path, a, unnest(range(1, len(a) + 1)) AS line_no FROM f),
+l AS (SELECT path, line_no, list_extract(a, line_no) AS line, {_fold('list_extract(a, line_no)')} AS folded_line FROM u),
+m AS (
+    SELECT query_id, query, folded, tokens, path, line_no, trim(line) AS snippet, FALSE AS relaxed FROM l, q WHERE {exact} AND contains(folded_line, folded)
+    UNION ALL
+    SELECT query_id, query, folded, tokens, path, line_no, trim(line), TRUE FROM l, q
+    WHERE {relaxed} AND len(tokens) >= 2 AND len({held.format('folded_line')}) > 0
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, path, relaxed ORDER BY line_no) AS n FROM m),
+w AS (SELECT *, {weights.format(held.format(_fold('snippet')))} AS w FROM k WHERE n <= 8),
+g AS (
+    SELECT query_id, path, relaxed, any_value(query) AS query, any_value(folded) AS folded, any_value(tokens) AS tokens,
+        {_fold("string_agg(snippet, ' ' ORDER BY line_no)")} AS combined, max(w) AS best_line_weight,
+        list(struct_pack(line_no := line_no, snippet := snippet) ORDER BY w DESC, line_no)[1] AS best, count(*) AS matched_line_count
+    FROM w GROUP BY query_id, path, relaxed
+),
+s AS (
+    SELECT *, {held.format('combined')} AS terms, len({held.format(_fold('path'))}) AS in_path FROM g
+),
+r AS (
+    SELECT *, round({weights.format('terms')} * 10 + best_line_weight * 2 + in_path * 3 + CASE WHEN contains(combined, folded) THEN 100 ELSE 0 END, 2)::DOUBLE AS relevance_score FROM s
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, relaxed ORDER BY relevance_score DESC, path) AS rank, min(relaxed) OVER (PARTITION BY query_id) AS first FROM r)
+SELECT query_id, rank, path, best.line_no AS line_no, path || ':' || best.line_no AS locator,
+    CASE WHEN length({_COLLAPSE.format('best.snippet')}) <= 500 THEN {_COLLAPSE.format('best.snippet')}
+        ELSE rtrim(left({_COLLAPSE.format('best.snippet')}, 488)) || ' [truncated]' END AS snippet,
+    relevance_score, best_line_weight, list_aggregate(terms, 'string_agg', ' ') AS matched_terms_or_null, round(len(terms)::DOUBLE / len(tokens), 3) AS term_coverage,
+    matched_line_count, relaxed AS query_relaxed,
+    CASE WHEN relaxed THEN list_aggregate(list_transform(list_slice(tokens, 1, 6), lambda t: regexp_replace(t, '([.-])', '\\\\\\1', 'g')), 'string_agg', '|') ELSE query END AS query_variant
+FROM o WHERE relaxed = first AND rank <= {limit}
+"""
+
+
+def _search_oracle(*args, **kwargs) -> str:
+    return _search_sql(*args, **kwargs).replace("list_aggregate(terms, 'string_agg', ' ') AS matched_terms_or_null", "coalesce(list_aggregate(terms, 'string_agg', ' '), '') AS matched_terms")
+
+
+_ONE = "SELECT 1::BIGINT AS query_id, 'worthless clown and the idiot' AS raw"
+
+
+def _one(spark: SparkSession, q: str) -> DataFrame:
+    return spark.createDataFrame([(1, q)], "query_id long, query string")
+
+
+@_register(_search_oracle(_ONE, 20))
+def search_topk(spark, sf_dir):
+    """Best 20 files for one query: exact lines, or relaxed ones where there are none."""
+    return search.search(search.workspace(table(spark, sf_dir, "documents")), _one(spark, "worthless clown and the idiot"), 20)
+
+
+@_register(_search_oracle(_ONE, 20, exact="FALSE"))
+def search_relaxed(spark, sf_dir):
+    return search.search(search.workspace(table(spark, sf_dir, "documents")), _one(spark, "worthless clown and the idiot"), 20, relaxed=True)
+
+
+_BATCH = "SELECT item_id AS query_id, text AS raw FROM benchmark"
+
+
+@_register(_search_oracle(_BATCH, 8))
+def search_fallback_batch(spark, sf_dir):
+    """Best 8 files for each benchmark passage."""
+    return search.search(search.workspace(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 8)
+
+
+@_register(f"""
+WITH {_planned(_BATCH)}
+SELECT query_id, list_aggregate(tokens, 'string_agg', ' ') AS tokens, len(tokens) AS n_tokens,
+    list_sum(list_transform(tokens, lambda t: {_WEIGHT}))::DOUBLE AS weight,
+    CASE WHEN len(tokens) >= 2 THEN list_aggregate(list_transform(list_slice(tokens, 1, 6), lambda t: regexp_replace(t, '([.-])', '\\\\\\1', 'g')), 'string_agg', '|') END AS relaxed_pattern
+FROM q
+""")
+def query_tokens(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.normalized(F.col("text")).alias("query")).filter("query is not null")
+    q = q.withColumn("t", query.tokens(F.col("query")))
+    weight = F.aggregate("t", F.lit(0.0), lambda out, t: out + query.weight(t))
+    return q.select("query_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"), weight.alias("weight"), query.relaxed_pattern(F.col("t")).alias("relaxed_pattern"))
+
+
+_HOST_STOP = "[" + ", ".join(f"'{w}'" for w in query.HOST_STOPWORDS) + "]"
+
+
+@_register(f"""
+WITH b AS (SELECT item_id AS query_id, {_COLLAPSE.format('text')} || ' lang:python -fork' AS query FROM benchmark),
+p AS (SELECT *, regexp_extract_all(query, '"[^"]+"|\\S+') AS parts FROM b),
+t AS (SELECT *, list_filter(parts, lambda t: NOT (contains(t, ':') OR starts_with(t, '-')) AND NOT list_contains({_HOST_STOP}, lower(trim(t, '"')))) AS topics,
+    list_filter(parts, lambda t: contains(t, ':') OR starts_with(t, '-')) AS qualifiers FROM p)
+SELECT query_id, query AS exact, CASE WHEN len(topics) >= 2 AND list_aggregate(list_concat(list_slice(topics, 1, 2), qualifiers), 'string_agg', ' ') <> query
+    THEN list_aggregate(list_concat(list_slice(topics, 1, 2), qualifiers), 'string_agg', ' ') END AS relaxed FROM t
+""")
+def query_variants(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.host_variants(F.concat(F.col("text"), F.lit(" lang:python -fork"))).alias("v"))
+    return q.select("query_id", F.get("v", 0).alias("exact"), F.get("v", 1).alias("relaxed"))
+
+
+@_register(f"SELECT doc_id, line_no, list_extract(a, line_no) AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS line_no FROM (SELECT doc_id, {_LINES} AS a FROM documents))")
+def numbered_lines(spark, sf_dir):
+    return text.numbered_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@_register("""
+WITH p AS (SELECT doc_id, source || '/' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'build/' WHEN 2 THEN '../' ELSE 'docs/' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.bin' ELSE '.txt' END AS path FROM documents)
+SELECT doc_id, path FROM p WHERE doc_id % 3 <> 0 AND doc_id % 4 NOT IN (1, 2)
+""")
+def path_scan_filter(spark, sf_dir):
+    middle = F.element_at(F.array(*[F.lit(x) for x in ("", "build/", "../", "docs/")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    end = F.when(F.col("doc_id") % 3 == 0, ".bin").otherwise(".txt")
+    paths = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), middle, F.col("doc_id").cast("string"), end).alias("path"))
+    return selected_paths(paths)
+
+
+_GROUPS = """
+WITH c AS (
+    SELECT doc_id % 20 AS query_id, 0::BIGINT AS group_no, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) - 1 AS idx, 'https://h/' || doc_id % 37 || CASE WHEN doc_id % 3 = 0 THEN '//' ELSE '' END AS locator FROM documents
+    UNION ALL
+    SELECT conv_id % 20, 1, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) - 1, 'https://h/' || (conv_id + turn) % 53 FROM conversations
+),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(locator, '/+$', '') ORDER BY idx, group_no) AS k FROM c WHERE idx < 12),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx, group_no) AS rank FROM d WHERE k = 1)
+SELECT query_id, group_no, idx, locator, rank, idx + 1 AS provider_rank FROM r WHERE rank <= 12
+"""
+
+
+@_register(_GROUPS)
+def round_robin_merge(spark, sf_dir):
+    from pyspark.sql import Window
+
+    docs, conv = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    first = docs.select((F.col("doc_id") % 20).alias("query_id"), F.lit(0).cast("long").alias("group_no"), (F.row_number().over(Window.partitionBy(F.col("doc_id") % 20).orderBy("doc_id")) - 1).cast("long").alias("idx"), F.concat(F.lit("https://h/"), (F.col("doc_id") % 37).cast("string"), F.when(F.col("doc_id") % 3 == 0, "//").otherwise("")).alias("locator"))
+    second = conv.select((F.col("conv_id") % 20).alias("query_id"), F.lit(1).cast("long").alias("group_no"), (F.row_number().over(Window.partitionBy(F.col("conv_id") % 20).orderBy("conv_id", "turn")) - 1).cast("long").alias("idx"), F.concat(F.lit("https://h/"), ((F.col("conv_id") + F.col("turn")) % 53).cast("string")).alias("locator"))
+    return merge.provider_ranks(first.unionAll(second), 12)
+
+
+# events as a log of attempts: a query for each user, a provider for each type
+_ATTEMPTS = "SELECT user_id AS query_id, event_type AS provider, CASE WHEN bool_or(value > 30) THEN 'success' ELSE 'failed' END AS status FROM events GROUP BY ALL"
+_FOUND = "SELECT user_id AS query_id, event_type AS provider, count(*) AS candidate_count FROM events WHERE value > 45 GROUP BY ALL"
+
+
+def _attempts(spark, sf_dir) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("provider"), "value")
+    attempts = events.groupBy("query_id", "provider").agg(F.when(F.bool_or(F.col("value") > 30), "success").otherwise("failed").alias("status"))
+    return merge.attempts_with_counts(attempts, events.filter("value > 45"), ["query_id", "provider"])
+
+
+@_register(f"SELECT query_id, provider, status, coalesce(candidate_count, 0) AS candidate_count FROM ({_ATTEMPTS}) LEFT JOIN ({_FOUND}) USING (query_id, provider)")
+def attempts_with_counts(spark, sf_dir):
+    return _attempts(spark, sf_dir)
+
+
+@_register(f"""
+SELECT query_id, sum(coalesce(candidate_count, 0))::BIGINT AS candidates, NOT bool_or(status = 'success') AND sum(coalesce(candidate_count, 0)) = 0 AS all_failed,
+    bool_or(status = 'failed') AND sum(coalesce(candidate_count, 0)) > 0 AS partial
+FROM ({_ATTEMPTS}) LEFT JOIN ({_FOUND}) USING (query_id, provider) GROUP BY query_id
+""")
+def search_outcome(spark, sf_dir):
+    return merge.outcome(_attempts(spark, sf_dir))
+
+
+_MD = """SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN '# Conversation ' || conv_id || chr(10) || chr(10) ELSE '' END || '## ' || role || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || chr(10)
+    || CASE WHEN role = 'system' THEN '- ' || replace(text, chr(10), chr(10) || '- ') WHEN turn % 3 = 2 THEN '| ' || replace(text, chr(10), chr(10) || '| ') ELSE text END, chr(10) || chr(10) ORDER BY turn) AS md
+FROM conversations GROUP BY conv_id"""
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)"
+
+
+def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, md: conversations as Markdown with headings, lists and tables."""
+    body = F.when(F.col("role") == "system", F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))).when(F.col("turn") % 3 == 2, F.concat(F.lit("| "), F.replace("text", F.lit("\n"), F.lit("\n| ")))).otherwise(F.col("text"))
+    head = F.when(F.col("turn") == 0, F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"))).otherwise("")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.lit("## "), "role", F.lit("  \n\n\n\n\n"), body).alias("part"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n\n").alias("md"))
+
+
+@_register(f"SELECT conv_id, {_CLEAN} AS markdown, regexp_extract({_CLEAN}, '(?m)^#\\s+(.+?)\\s*$', 1) AS title FROM ({_MD})")
+def clean_markdown(spark, sf_dir):
+    md = markdown_corpus(spark, sf_dir).select("conv_id", text.clean_markdown(F.col("md")).alias("markdown"))
+    return md.withColumn("title", text.markdown_title(F.col("markdown")))
+
+
+_KIND = r"""CASE WHEN trim(line) = '' THEN NULL WHEN regexp_matches(ltrim(line), '^#{1,6}\s+') THEN 'heading' WHEN starts_with(ltrim(line), '|') THEN 'table'
+    WHEN regexp_matches(ltrim(line), '^(?:[-*+]\s+|\d+[.)]\s+)') THEN 'list' ELSE 'paragraph' END"""
+_ANCHORS = rf"""
+WITH m AS (SELECT conv_id, string_split(rtrim({_CLEAN}, chr(10)), chr(10)) AS a FROM ({_MD})),
+l AS (SELECT conv_id, line_no, list_extract(a, line_no) AS line FROM (SELECT conv_id, a, unnest(range(1, len(a) + 1)) AS line_no FROM m)),
+k AS (SELECT *, {_KIND} AS kind FROM l),
+n AS (SELECT *, kind IS NOT NULL AND (kind = 'heading' OR lag(kind) OVER (PARTITION BY conv_id ORDER BY line_no) IS DISTINCT FROM kind) AS fresh FROM k),
+b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY line_no) AS block FROM n),
+g AS (SELECT conv_id, block, min(line_no) AS line_start, max(line_no) AS line_end, any_value(kind) AS kind, string_agg(line, chr(10) ORDER BY line_no) AS body FROM b WHERE kind IS NOT NULL GROUP BY conv_id, block),
+h AS (SELECT *, CASE WHEN kind = 'heading' THEN trim(regexp_replace(ltrim(body), '^#{{1,6}}\s+', '')) END AS title, sha256(body) AS sha256 FROM g)
+SELECT conv_id, row_number() OVER w - 1 AS pos, 'a_' || left(sha256, 12) AS anchor_id, kind, last_value(title IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading,
+    line_start, line_end, sha256, left(trim(regexp_replace(body, '\s+', ' ', 'g')), 240) AS preview
+FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY line_start)
+"""
+
+
+@_register(_ANCHORS)
+def markdown_anchors(spark, sf_dir):
+    md = markdown_corpus(spark, sf_dir).select("conv_id", text.clean_markdown(F.col("md")).alias("markdown"))
+    return anchors.anchors(md, ["conv_id"])
+
+
+@_register(_ANCHORS)
+def markdown_anchors_fenced(spark, sf_dir):
+    """The general form, which also cuts code fences, on the same documents."""
+    md = markdown_corpus(spark, sf_dir).select("conv_id", text.clean_markdown(F.col("md")).alias("markdown"))
+    return anchors.fenced_anchors(md, ["conv_id"])
+
+
+@_register(f"""
+SELECT doc_id, CASE WHEN length({_COLLAPSE.format('text')}) <= 300 THEN {_COLLAPSE.format('text')} ELSE rtrim(left({_COLLAPSE.format('text')}, 288)) || ' [truncated]' END AS snippet,
+    length({_COLLAPSE.format('text')}) > 300 AS snippet_truncated FROM documents
+""")
+def compact_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text"), 300).alias("snippet"))
+    return rows.withColumn("snippet_truncated", text.is_truncated(F.col("snippet")))
+
+
+@_register(f"""
+WITH u AS (SELECT conv_id, turn, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT conv_id, turn, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS a FROM conversations)),
+l AS (SELECT conv_id, turn, i, trim(list_extract(a, i)) AS line FROM u),
+k AS (SELECT *, lag(line) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM l WHERE line NOT IN ('', '...')),
+t AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY i) AS body FROM k WHERE before IS DISTINCT FROM line GROUP BY ALL)
+SELECT conv_id, turn, CASE WHEN body IS NULL THEN '' WHEN length(body) <= 1200 THEN body ELSE regexp_replace(left(body, 1188), '\\s+$', '') || chr(10) || '[truncated]' END AS snippet
+FROM (SELECT DISTINCT conv_id, turn FROM conversations) LEFT JOIN t USING (conv_id, turn)
+""")
+def snippet_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.dedupe_lines(F.replace("text", F.lit(". "), F.lit(".\n")), 1200).alias("snippet"))
+
+
+@_register("""
+SELECT doc_id, sha256(text) AS source_sha256, strlen(text) AS bytes, length(text) AS normalized_chars, 'tf_' || left(sha256(text), 16) || '_20240102T030405Z' AS receipt_id,
+    CASE WHEN length(text) >= 160 THEN 'complete' ELSE 'partial' END AS status, length(text) BETWEEN 1 AND 159 AS thin_content, 'raw.txt' AS raw_path,
+    CASE WHEN length(text) >= 160 THEN 'source_content_is_untrusted_data' ELSE 'normalized_content_below_threshold,source_content_is_untrusted_data' END AS warnings
+FROM documents
+""")
+def receipts(spark, sf_dir):
+    """Receipts of documents fetched at one time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("text").alias("markdown"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.to_timestamp(F.lit("2024-01-02 03:04:05")).alias("fetched_at"))
+    return documents.receipts(docs, ["doc_id"]).select("doc_id", "source_sha256", "bytes", "normalized_chars", "receipt_id", "status", "thin_content", "raw_path", F.array_join("warnings", ",").alias("warnings"))
+
+
+@_register(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['s', 'h', 'p', 'q']) AS u FROM pages)
+SELECT page_id, lower(u.s) || '://' || lower(u.h) || CASE WHEN u.p = '' THEN '/' ELSE u.p END || CASE WHEN u.q = '?' THEN '' ELSE u.q END AS normalized_url,
+    lower(u.h) AS host, CASE WHEN lower(u.s) = 'https' THEN 443 ELSE 80 END::BIGINT AS port, 'web-candidate' AS source_class,
+    CASE WHEN lower(u.s) <> 'https' THEN 'HTTPS is required' WHEN u.h LIKE 'th%.example.com' AND u.h = 'ththre.example.com' THEN 'host is not allowed' END AS block_reason
+FROM p
+""")
+def url_policy(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(url).alias("normalized_url"), urls.host(url).alias("host"), urls.port(url).cast("long").alias("port"), urls.source_class(url).alias("source_class"), urls.block_reason(url, denied=("ththre.example.com",), require_https=True).alias("block_reason"))
+
+
+@_register(r"""
+SELECT regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS origin, count(*) AS pages FROM pages GROUP BY 1
+""")
+def origin_stats(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").groupBy(F.concat(urls.scheme(url), F.lit("://"), urls.host(url)).alias("origin")).agg(F.count("*").alias("pages"))
+
+
+# events as the state of crawls: a crawl for each user
+_STATE = "SELECT user_id AS crawl_id, CASE event_type WHEN 'error' THEN CASE WHEN value > 20 THEN 'failed' ELSE 'blocked' END WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' ELSE 'complete' END AS status, CASE WHEN event_type IN ('error', 'click') THEN CASE WHEN value > 20 THEN 'fetch_failed' ELSE 'policy_blocked' END END AS error_code FROM events"
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    kind, high = F.col("event_type"), F.col("value") > 20
+    status = F.when(kind == "error", F.when(high, "failed").otherwise("blocked")).when(kind == "click", "pending").when(kind == "view", "running").otherwise("complete")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("crawl_id"), status.alias("status"), F.when(kind.isin("error", "click"), F.when(high, "fetch_failed").otherwise("policy_blocked")).alias("error_code"))
+
+
+@_register(f"""
+WITH c AS (SELECT crawl_id, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status IN ('pending', 'running')) AS pending FROM ({_STATE}) GROUP BY crawl_id)
+SELECT *, complete + failed + blocked AS processed, CASE WHEN pending > 0 THEN CASE WHEN complete + failed + blocked >= 60 THEN 'partial' ELSE 'running' END
+    WHEN complete > 0 AND (failed > 0 OR blocked > 0) THEN 'partial' WHEN complete > 0 THEN 'complete' ELSE 'failed' END AS crawl_status FROM c
+""")
+def crawl_status_fold(spark, sf_dir):
+    return crawl.crawl_status(crawl.status_counts(_state(spark, sf_dir), ["crawl_id"]), F.lit(60))
+
+
+@_register(f"SELECT crawl_id, error_code, count(*) AS pages FROM ({_STATE}) WHERE error_code IS NOT NULL GROUP BY ALL")
+def failures_by_code(spark, sf_dir):
+    return crawl.failures_by_code(_state(spark, sf_dir), ["crawl_id"])
+
+
+@_register("""
+SELECT event_id, CASE WHEN event_type <> 'error' THEN 'complete' WHEN value > 20 AND event_id % 3 < 2 THEN 'pending' WHEN value <= 20 THEN 'blocked' ELSE 'failed' END AS new_status FROM events
+""")
+def page_transition(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    code = F.when(F.col("event_type") == "error", F.when(F.col("value") > 20, "fetch_failed").otherwise("policy_blocked"))
+    return e.select("event_id", crawl.transition(code, F.col("value") > 20, F.col("event_id") % 3).alias("new_status"))
+
+
+@_register("""
+SELECT event_id, greatest(0.0, coalesce(60.0 - (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) / 1e6, 0.0))::DOUBLE AS wait FROM events
+""")
+def host_pacing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    paced = crawl.pacing(e.withColumn("at", F.col("us")), 60e6).select("event_id", (F.col("wait") / 1e6).alias("wait"))
+    return paced
+
+
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages of one host in a ring of links of one and seven steps, with links to another host."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"))
+    n = pages.count()
+    url = lambda i: F.concat(F.lit("https://site.example/p/"), i.cast("string"))
+    links = pages.select(url(F.col("page_id")).alias("url"), F.posexplode(F.array(url((F.col("page_id") + 1) % n), url((F.col("page_id") * 7 + 3) % n), F.concat(F.lit("https://other.example/"), F.col("page_id").cast("string")))).alias("pos", "target"))
+    failed = F.col("page_id") % 5 == 4
+    results = pages.select(url(F.col("page_id")).alias("url"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), F.when(failed, "fetch_failed").alias("error_code"), failed.alias("retryable"))
+    return links, results
+
+
+@_register(r"""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+s(page_id, depth) AS (
+    SELECT 0::BIGINT, 0
+    UNION
+    SELECT t.target, s.depth + 1 FROM s, n, LATERAL (SELECT unnest([(s.page_id + 1) % n.n, (s.page_id * 7 + 3) % n.n]) AS target) t WHERE s.depth < 4 AND s.page_id % 5 <> 4
+),
+f AS (SELECT page_id, min(depth) AS depth FROM s GROUP BY page_id)
+SELECT 'https://site.example/p/' || page_id AS url, depth::BIGINT AS depth, CASE WHEN page_id % 5 = 4 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN page_id % 5 = 4 THEN 2 ELSE 1 END::BIGINT AS attempts,
+    CASE WHEN page_id % 5 = 4 THEN 'fetch_failed' END AS error_code FROM f
+""")
+def crawl_bfs(spark, sf_dir):
+    links, results = _graph(spark, sf_dir)
+    state = crawl.crawl("https://site.example/p/0", links, results, max_pages=1000, max_depth=4)
+    return state.select("url", F.col("depth").cast("long").alias("depth"), "status", F.col("attempts").cast("long").alias("attempts"), "error_code")
+
+
+@_register(r"""
+SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[^\s,;]+', '\1[redacted]', 'g'), '(?i)((?:token|secret|password|api[_-]?key)\s*[=:]\s*)[^\s,;]+', '\1[redacted]', 'g') AS redacted FROM documents
+""")
+def redact_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", govern.redact(F.col("text")).alias("redacted"))
+
+
+@_register("""
+SELECT doc_id % 30 AS query_id, CASE WHEN max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END) = 2 THEN 'internal' WHEN max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END) = 1 THEN 'account-visible' ELSE 'public-or-project' END AS sensitivity
+FROM labels GROUP BY 1
+""")
+def sensitivity_fold(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 30).alias("query_id"), F.when(F.col("toxic") == 1, "internal").when(F.col("quality") == 0, "account-visible").otherwise("public").alias("sensitivity"))
+    return merge.sensitivity(rows, ["query_id"])
+
+
+_SPECS = """SELECT 'p' || doc_id AS name, 's' || doc_id % 40 AS scope, CASE WHEN toxic = 1 THEN 'internal' WHEN quality = 0 THEN 'account-visible' ELSE 'public' END AS sensitivity, doc_id % 40 < 3 OR doc_id % 90 = 5 AS isolated FROM labels"""
+
+
+@_register(f"""
+WITH m AS (SELECT * FROM ({_SPECS}) WHERE scope IN ('s1', 's2', 's5'))
+SELECT 'sensitive scope needs consent' AS rule, name FROM m WHERE sensitivity IN ('account-visible', 'internal')
+UNION ALL SELECT 'isolated provider must be the only scope', name FROM m WHERE isolated
+UNION ALL SELECT 'all providers of an isolated scope must be isolated', scope FROM m GROUP BY scope HAVING bool_or(isolated) AND NOT bool_and(isolated)
+""")
+def isolation_check(spark, sf_dir):
+    n = F.col("doc_id")
+    specs = table(spark, sf_dir, "labels").select(F.concat(F.lit("p"), n.cast("string")).alias("name"), F.concat(F.lit("s"), (n % 40).cast("string")).alias("scope"), F.when(F.col("toxic") == 1, "internal").when(F.col("quality") == 0, "account-visible").otherwise("public").alias("sensitivity"), ((n % 40 < 3) | (n % 90 == 5)).alias("isolated"))
+    return govern.scope_violations(specs, ["s1", "s2", "s5"])
+
+
+# events as tries of readers: a page for each ten events
+_TRIES = "SELECT event_id // 10 AS url_id, event_id % 10 AS route_pos, event_type AS adapter, event_type <> 'error' AS ok, (value * 4)::BIGINT AS chars FROM events"
+
+
+@_register(f"""
+WITH t AS ({_TRIES}),
+s AS (SELECT url_id, min(route_pos) FILTER (ok AND chars >= 160) AS stop FROM t GROUP BY url_id),
+u AS (SELECT t.* FROM t JOIN s USING (url_id) WHERE stop IS NULL OR route_pos <= stop)
+SELECT url_id, count(*) AS tried, min(route_pos) FILTER (ok) AS raw_pos, max(route_pos) FILTER (ok) AS normalized_pos, coalesce(arg_max(chars, route_pos) FILTER (ok), 0) AS chars,
+    CASE WHEN coalesce(arg_max(chars, route_pos) FILTER (ok), 0) >= 160 THEN 'complete' ELSE 'partial' END AS status FROM u GROUP BY url_id
+""")
+def fallback_pick(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 10").alias("url_id"), (F.col("event_id") % 10).alias("route_pos"), F.col("event_type").alias("adapter"), (F.col("event_type") != "error").alias("ok"), F.round(F.col("value") * 4).cast("long").alias("chars"))
+    return documents.fallback(e, ["url_id"])
+
+
+@_register(r"""
+SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) <> '' AS has_title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS hrefs FROM pages
+""")
+def page_shape(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", (F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1) != "").alias("has_title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("hrefs"))
+
+
+@_register()
+def html_markdown(spark, sf_dir):
+    """Pages as Markdown with title and links; tested against fixtures."""
+    return documents.html_markdown(table(spark, sf_dir, "pages").select("page_id", "html", "url"), ["page_id"], "html", "url")
+
+
+@_register()
+def page_links(spark, sf_dir):
+    """Links of whole pages, resolved, the first of each text and target."""
+    return documents.html_links(table(spark, sf_dir, "pages").select("page_id", "html", "url"), ["page_id"], "html", "url", scope="document")
+
+
+_TAMPER = "SELECT doc_id, text, sha256(text) AS sha256, strlen(text) AS bytes FROM documents"
+
+
+@_register(f"""
+WITH a AS ({_TAMPER}),
+o AS (
+    SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text, 'raw.txt' AS path FROM documents WHERE doc_id % 11 <> 0
+    UNION ALL SELECT doc_id, 'x', 'extra.bin' FROM documents WHERE doc_id % 13 = 0
+)
+SELECT a.doc_id, 'raw.txt' AS path, 'missing artifact' AS failure FROM a LEFT JOIN o ON a.doc_id = o.doc_id AND o.path = 'raw.txt' WHERE o.path IS NULL
+UNION ALL SELECT a.doc_id, 'raw.txt', 'byte count mismatch' FROM a JOIN o ON a.doc_id = o.doc_id AND o.path = 'raw.txt' WHERE strlen(o.text) <> a.bytes
+UNION ALL SELECT a.doc_id, 'raw.txt', 'sha256 mismatch' FROM a JOIN o ON a.doc_id = o.doc_id AND o.path = 'raw.txt' WHERE sha256(o.text) <> a.sha256
+UNION ALL SELECT doc_id, path, 'unexpected bundle entry' FROM o WHERE path = 'extra.bin'
+""")
+def verify_violations(spark, sf_dir):
+    """Stored artifacts against a copy in which some are changed, some missing and some added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stated = docs.select("doc_id", F.lit("raw").alias("role"), F.lit("raw.txt").alias("path"), ids.sha256(F.col("text")).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+    there = docs.filter("doc_id % 11 <> 0").select("doc_id", F.lit("raw.txt").alias("path"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("body"))
+    extra = docs.filter("doc_id % 13 = 0").select("doc_id", F.lit("extra.bin").alias("path"), F.lit("x").alias("body"))
+    return verify.artifact_violations(stated, there.unionAll(extra), ["doc_id"])
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {e}::INT, {str(r).lower()})" for c, e, r in govern.ERRORS) + ") t(code, exit_status, retryable)")
+def error_taxonomy(spark, sf_dir):
+    return govern.error_taxonomy(spark)
