@@ -233,7 +233,7 @@ def _gather(parts: int, total: tuple[int, int], folds: int):
     """Held-out bigrams by bucket and by the logarithms of their two estimates: at most BUCKETS cells times a grid."""
     n, distinct = total
 
-    def run(_key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         cells, sizes = [], []
         for chunk, counts, deleted in _joined(texts, answers, parts):
             left = counts - deleted
@@ -266,7 +266,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, distinct: int, rounds: int =
         share = weights[bucket] * estimate
         whole = share.sum(axis=1, keepdims=True)
         share = share / np.maximum(whole, 1e-300) * n[:, None]
-        new = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1)
+        new = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1).astype(np.float64)
         new += np.array([1e-3, 1e-3, 1e-2])  # no estimate is ever ruled out
         new[0, 0] = 0
         weights = new / new.sum(axis=1, keepdims=True)
@@ -276,7 +276,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, distinct: int, rounds: int =
 def _scorer(parts: int, total: tuple[int, int], weights: np.ndarray, fold: int | None, folds: int):
     n, distinct = total
 
-    def run(_key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for chunk, counts, _ in _joined(texts, answers, parts):
             words, pairs = counts[: len(chunk.word_keys)], counts[len(chunk.word_keys) :]

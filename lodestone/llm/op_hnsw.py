@@ -195,7 +195,7 @@ def _opened(data: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
 
 
 def _indexer(copies: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         vectors = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), -1)
         _, first, copy_of = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
@@ -230,7 +230,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _searcher(results: int, breadth: int):
-    def run(_key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(index) and len(queries):
             graph, ids, first = _opened(index["graph"].iloc[0])
