@@ -31,7 +31,7 @@ def read_folder(spark: SparkSession, root: str, globs: tuple[str, ...] | list[st
     """path (relative to `root`) and text of the chosen files, read by Spark; larger files are skipped before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= most_bytes)
     base = root.rstrip("/").split("://")[-1].replace("file:", "")
-    rel = F.substring_index(F.col("path"), F.lit(base + "/"), -1)
+    rel = F.substring_index("path", base + "/", -1)
     rows = files.select(rel.alias("path"), "content").filter(chosen(F.col("path"), globs)).orderBy("path").limit(most_files)
     return rows.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("strict"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).select("path", F.coalesce("strict", "text").alias("text"))
 
