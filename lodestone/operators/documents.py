@@ -20,6 +20,8 @@ DROPPED = {"script", "style", "noscript", "template", "svg"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "table", "tr", "blockquote", "pre", "figure", "form", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "li", "title"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "source", "area", "base", "col", "wbr"}
 CONTAINERS = ("main", "article", "body")
+#: Elements within elements beyond which a page's markup is taken as text; tags that are never closed nest without end.
+MOST_DEPTH = 200
 
 
 class _Node:
@@ -91,10 +93,12 @@ def parse(markup: str) -> _Node:
     return tree.root
 
 
-def _markdown(node: _Node | str, base: str) -> str:
+def _markdown(node: _Node | str, base: str, depth: int = 0) -> str:
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
-    inner = "".join(_markdown(c, base) for c in node.children)
+    if depth > MOST_DEPTH:
+        return f" {node.text()} "
+    inner = "".join(_markdown(c, base, depth + 1) for c in node.children)
     tag, line = node.tag, inner.strip()
     if tag == "title" or tag == "head":
         return ""

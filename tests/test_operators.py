@@ -83,6 +83,7 @@ def test_html(spark):
     assert d["links"] == [{"text": "go", "url": "https://h.example/d/x?a=1"}]
     assert {"text": "nav", "url": "https://h.example/n"} in documents.convert(page, "https://h.example/d/e", "document")["links"]
     assert documents.convert("", "")["markdown"] == ""
+    assert documents.convert("<b>deep " * 5000, "")["markdown"].count("deep") == 5000
     df = spark.createDataFrame([(1, page, "https://h.example/"), (2, None, None)], "id long, html string, url string")
     got = {r.id: r for r in documents.html_markdown(df, ["id"]).collect()}
     assert got[1].n_links == 1 and got[2].markdown == ""
