@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import govern, ids, query, text, urls
 from lodestone.operators import anchors, crawl, documents, merge, search, verify
-from lodestone.session import table
+from lodestone.session import spread, table
 from lodestone.sources.workspace import selected_paths
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,12 +111,12 @@ def _one(spark: SparkSession, q: str) -> DataFrame:
 @_register(_search_oracle(_ONE, 20))
 def search_topk(spark, sf_dir):
     """Best 20 files for one query: exact lines, or relaxed ones where there are none."""
-    return search.search(search.workspace(table(spark, sf_dir, "documents")), _one(spark, "worthless clown and the idiot"), 20)
+    return search.search(search.workspace(spread(table(spark, sf_dir, "documents"))), _one(spark, "worthless clown and the idiot"), 20)
 
 
 @_register(_search_oracle(_ONE, 20, exact="FALSE"))
 def search_relaxed(spark, sf_dir):
-    return search.search(search.workspace(table(spark, sf_dir, "documents")), _one(spark, "worthless clown and the idiot"), 20, relaxed=True)
+    return search.search(search.workspace(spread(table(spark, sf_dir, "documents"))), _one(spark, "worthless clown and the idiot"), 20, relaxed=True)
 
 
 _BATCH = "SELECT item_id AS query_id, text AS raw FROM benchmark"
@@ -125,7 +125,7 @@ _BATCH = "SELECT item_id AS query_id, text AS raw FROM benchmark"
 @_register(_search_oracle(_BATCH, 8))
 def search_fallback_batch(spark, sf_dir):
     """Best 8 files for each benchmark passage."""
-    return search.search(search.workspace(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 8)
+    return search.search(search.workspace(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 8)
 
 
 @_register(f"""
