@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.components import components
-from lodestone.session import cut_lineage, table
+from lodestone.session import cut_lineage, spread, table
 
 SHINGLE_WORDS = 3
 MOST_BITS = 2
@@ -244,7 +244,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash_components(table(spark, sf_dir, "documents"))
+    out = simhash_components(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

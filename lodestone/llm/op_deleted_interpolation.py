@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import cut_lineage, table
+from lodestone.session import cut_lineage, spread, table
 
 #: Characters of text in a chunk, about.
 CHUNK_CHARS = 8_000_000
@@ -323,7 +323,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op3_deleted_interpolation": op3_deleted_interpolation}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import cut_lineage, table
+from lodestone.session import cut_lineage, spread, table
 
 #: Two primes under 2^31 and a base for each.
 MODULI = ((2147483647, 1099087573), (2147483629, 873651241))
@@ -171,7 +171,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(spread(table(spark, sf_dir, "documents"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {"op9_exact_dedup": op9_exact_dedup}

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.byte_bpe import pieces, special_pattern, special_tokens, token_bytes, vocabulary
 from lodestone.llm.numbering import gapless
-from lodestone.session import cut_lineage, table
+from lodestone.session import cut_lineage, spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -275,7 +275,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
 
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op8_pattern_packing": op8_pattern_packing}

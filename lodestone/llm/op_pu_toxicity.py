@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import cut_lineage, table
+from lodestone.session import cut_lineage, spread, table
 
 #: Bounds of the training sample and of the features learned.
 TOXIC_ROWS = 2500
@@ -214,7 +214,7 @@ def keep_clean(docs: DataFrame, model: PuModel | None, text_col: str = "text", *
 
 
 def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 

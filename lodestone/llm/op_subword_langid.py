@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import table
+from lodestone.session import spread, table
 
 #: Bounds of the training sample: rows for each language, languages, and words of a row, spread over all of it.
 ROWS_PER_LANGUAGE = 600
@@ -206,7 +206,7 @@ def keep_accepted(docs: DataFrame, model: SubwordModel, text_col: str = "text")
 
 
 def op6_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return predict_language(docs, train_language_model(docs))
 
 

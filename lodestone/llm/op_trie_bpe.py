@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.byte_bpe import pieces, special_pattern, special_tokens, token_bytes, vocabulary
-from lodestone.session import table
+from lodestone.session import spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker keeps encoded; the cache begins anew beyond it.
@@ -221,7 +221,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents"))
+    return bpe_digests(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op5_trie_bpe": op5_trie_bpe}
