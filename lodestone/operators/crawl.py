@@ -31,6 +31,12 @@ def crawl_status(counts: DataFrame, max_pages: Column) -> DataFrame:
     return counts.withColumn("crawl_status", done)
 
 
+def summary_line(counts: DataFrame) -> DataFrame:
+    """One line for each crawl: its status, and the pages completed of all."""
+    total = F.col("processed") + F.col("pending")
+    return counts.withColumn("summary", F.concat_ws(" ", "crawl_status", F.concat(F.col("complete").cast("string"), F.lit("/"), total.cast("string"))))
+
+
 def failures_by_code(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Pages by error code; those that wait for another try count too."""
     return pages.filter("error_code is not null").groupBy(*keys, "error_code").agg(F.count("*").alias("pages"))

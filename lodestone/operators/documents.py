@@ -207,6 +207,18 @@ def normalizer(content_type: Column) -> Column:
     return F.when(kind.isin("text/html", "application/xhtml+xml"), "html").when(kind.isin("application/json", "application/ld+json"), "json").when(F.startswith(kind, F.lit("text/")) | kind.isin("application/xml", "application/rss+xml", "application/atom+xml"), "text").otherwise("external")
 
 
+def normalizer_by_suffix(path: Column) -> Column:
+    """Which conversion a local file takes, by the ending of its name."""
+    end = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.when(end.isin(".html", ".htm"), "html").when(end == ".json", "json").when(end.isin(".md", ".markdown", ".txt", ".xml", ".csv", ".yaml", ".yml"), "text").otherwise("external")
+
+
+def used_flags(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether a remote or an authenticated reader was used: any attempt that wasn't skipped. attempts: keys, status, remote, authenticated."""
+    used = F.col("status") != "skipped"
+    return attempts.groupBy(*keys).agg(F.bool_or(used & F.col("remote")).alias("remote_used"), F.bool_or(used & F.col("authenticated")).alias("authenticated_used"))
+
+
 def reader_route(reader: str, *, allow_remote: bool = False, allow_authenticated: bool = False, known: tuple[str, ...] = ("direct", "jina", "firecrawl")) -> list[str]:
     """Readers to try in order."""
     if reader != "auto":

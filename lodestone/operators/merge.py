@@ -74,3 +74,12 @@ def distinct_in_order(values: Column) -> Column:
 
 def sorted_distinct(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values))
+
+
+def check_adapters(adapters: dict[str, object], limit: int, reserved: tuple[str, ...]) -> None:
+    """Injected adapters must be named as their keys say, by names that aren't reserved; limits are positive."""
+    if limit < 1:
+        raise ValueError("invalid_input: limit must be at least 1")
+    for name, adapter in adapters.items():
+        if name in reserved or getattr(adapter, "name", None) != name:
+            raise ValueError(f"invalid_input: adapter name {name!r}")

@@ -70,6 +70,24 @@ def crawl_violations(stated: DataFrame, pages: DataFrame, stated_pages: DataFram
     return reduce(DataFrame.unionByName, [twice, *own, status, differ])
 
 
+def page_bundle_violations(pages: DataFrame, receipts: DataFrame) -> DataFrame:
+    """crawl_id, url, failure: complete pages whose bundle is missing or was made for another URL.
+
+    pages: crawl_id, url, status, bundle_path; receipts: bundle_path, requested_url.
+    """
+    rows = pages.filter("status = 'complete'").join(receipts, "bundle_path", "left")
+    failure = F.when(F.col("requested_url").isNull(), "missing bundle").when(F.col("requested_url") != F.col("url"), "page URL does not match bundle")
+    return rows.select("crawl_id", "url", failure.alias("failure")).filter("failure is not null")
+
+
+def target_kind(names: set[str]) -> str:
+    """What a folder holds, by its file names: a bundle before a crawl."""
+    for name, kind in (("receipt.json", "bundle"), ("crawl-receipt.json", "crawl")):
+        if name in names:
+            return kind
+    raise ValueError("invalid_input: no receipt in the folder")
+
+
 def code_violations(stated_codes: DataFrame, pages: DataFrame) -> DataFrame:
     """crawl_id, error_code, failure: stated failure counts (crawl_id, error_code, n) against the pages."""
     rows = stated_codes.join(failures_by_code(pages, ["crawl_id"]), ["crawl_id", "error_code"], "full_outer")

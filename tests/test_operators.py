@@ -157,3 +157,18 @@ def test_layout_and_summary(spark):
     bad = verify.layout_violations(receipts, artifacts, ["id"])
     got = {r.id: (r.valid, r.failures) for r in verify.summary(receipts, bad, ["id"]).collect()}
     assert got[1] == (True, []) and got[3] == (True, []) and len(got[2][1]) == 5
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([("a/b.HTM",), ("c.json",), ("d.yml",), ("e.pdf",), ("none",)], "p string")
+    assert [r.k for r in df.select(documents.normalizer_by_suffix(F.col("p")).alias("k")).collect()] == ["html", "json", "text", "external", "external"]
+    tries = spark.createDataFrame([(1, "skipped", True, True), (1, "failed", True, False), (2, "skipped", True, True)], "id long, status string, remote boolean, authenticated boolean")
+    assert sorted(tuple(r) for r in documents.used_flags(tries, ["id"]).collect()) == [(1, True, False), (2, False, False)]
+    pages = spark.createDataFrame([(1, "u", "complete", "p"), (1, "v", "complete", "q"), (1, "w", "complete", "r"), (1, "x", "failed", None)], "crawl_id long, url string, status string, bundle_path string")
+    receipts = spark.createDataFrame([("p", "u"), ("q", "z")], "bundle_path string, requested_url string")
+    assert sorted((r.url, r.failure) for r in verify.page_bundle_violations(pages, receipts).collect()) == [("v", "page URL does not match bundle"), ("w", "missing bundle")]
+    assert verify.target_kind({"receipt.json", "crawl-receipt.json"}) == "bundle"
+    counts = crawl.crawl_status(crawl.status_counts(pages, ["crawl_id"]), F.lit(20))
+    assert crawl.summary_line(counts).first().summary == "partial 3/4"
+    with pytest.raises(ValueError):
+        merge.check_adapters({"exa": None}, 1, ("exa",))
