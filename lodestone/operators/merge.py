@@ -20,7 +20,7 @@ def round_robin(candidates: DataFrame, limit: int, *, query: str = "query_id", g
     """Merge ordered lists: the first candidates of all groups, then the second ones, and so on.
 
     Of candidates with one canonical locator the first in that order stays; lists are not refilled. Adds `rank`
-    from 1 to `limit`. Both windows partition by query first, so the second finds its rows in place.
+    from 1 to `limit`. The first window deals rows out by locator, so one query's long lists are not in one task before they are cut.
     """
     rows = candidates.filter(F.col(index) < limit).withColumn("_key", canonical(F.col(locator)))
     rows = first_of_each(rows, [query, "_key"], [index, group])
