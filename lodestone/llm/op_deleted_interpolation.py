@@ -70,16 +70,19 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte plane by byte plane: of small numbers only the low bytes take room."""
     head = np.array([len(a) for a in arrays], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpack(data: bytes, *types: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes, at, out = np.frombuffer(raw, dtype="<i8", count=len(types)), 8 * len(types), []
     for n, kind in zip(sizes.tolist(), types, strict=True):
-        out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
     return out
 
 
