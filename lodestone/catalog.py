@@ -160,7 +160,7 @@ def query_variants(spark, sf_dir):
 
 @_register(f"SELECT doc_id, line_no, list_extract(a, line_no) AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS line_no FROM (SELECT doc_id, {_LINES} AS a FROM documents))")
 def numbered_lines(spark, sf_dir):
-    return text.numbered_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    return text.numbered_lines(table(spark, sf_dir, "documents"), ["doc_id"], most_bytes=None)
 
 
 @_register("""
