@@ -12,6 +12,7 @@ from lodestone.operators.anchors import anchor_mismatches
 from lodestone.operators.crawl import crawl_status, failures_by_code, status_counts
 
 DERIVED = ("normalized", "anchors", "links")
+DERIVED_PATHS = {"normalized": "normalized.md", "anchors": "anchors.jsonl", "links": "links.json"}
 
 
 def artifact_violations(stated: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,6 +44,46 @@ def layout_violations(receipts: DataFrame, artifacts: DataFrame, keys: list[str]
     return rows.select(*keys, F.explode(F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks]), lambda x: x.isNotNull())).alias("failure"))
 
 
+def path_violations(artifacts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failure: derived artifacts of another file name than theirs. artifacts: keys, role, path."""
+    odd = F.lit(False)
+    for role, path in DERIVED_PATHS.items():
+        odd = odd | ((F.col("role") == role) & (F.col("path") != path))
+    return artifacts.filter(odd).select(*keys, F.concat(F.lit("unexpected "), "role", F.lit(" artifact path: "), "path").alias("failure"))
+
+
+def flag_violations(receipts: DataFrame, attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failure: policy flags against the route and the tries.
+
+    receipts: keys, route (array), remote_adapter_used, authenticated_adapter_used; attempts: keys, status,
+    remote_adapter, authenticated_adapter.
+    """
+    tried = attempts.filter("status <> 'skipped'").groupBy(*keys).agg(F.bool_or("remote_adapter").alias("_remote"), F.bool_or("authenticated_adapter").alias("_authenticated"))
+    rows = receipts.join(tried, keys, "left")
+    no = F.lit(False)
+    remote = F.coalesce(F.arrays_overlap("route", F.array(F.lit("jina"), F.lit("firecrawl"))), no) | F.coalesce("_remote", no)
+    authenticated = F.coalesce(F.array_contains("route", "firecrawl"), no) | F.coalesce("_authenticated", no)
+    checks = [
+        ("remote adapter policy flag does not match route", ~F.col("remote_adapter_used").eqNullSafe(remote)),
+        ("authenticated adapter policy flag does not match route", ~F.col("authenticated_adapter_used").eqNullSafe(authenticated)),
+    ]
+    return rows.select(*keys, F.explode(F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks]), lambda x: x.isNotNull())).alias("failure"))
+
+
+def source_violations(receipts: DataFrame, stated: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failure: the source a receipt states against its raw artifact, where the bundle has just one.
+
+    receipts: keys, source_bytes, source_sha256; stated: keys, role, path; there: keys, path, body.
+    """
+    found = there.select(*keys, "path", F.octet_length("body").cast("long").alias("_bytes"), sha256(F.col("body")).alias("_sha"))
+    raw = stated.filter("role = 'raw'").join(found, [*keys, "path"]).groupBy(*keys).agg(F.count("*").alias("_n"), F.first("_bytes").alias("_bytes"), F.first("_sha").alias("_sha")).filter("_n = 1")
+    checks = [
+        ("source byte count does not match raw artifact", ~F.col("source_bytes").eqNullSafe(F.col("_bytes"))),
+        ("source sha256 does not match raw artifact", ~F.col("source_sha256").eqNullSafe(F.col("_sha"))),
+    ]
+    return receipts.join(raw, keys).select(*keys, F.explode(F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks]), lambda x: x.isNotNull())).alias("failure"))
+
+
 def derived_violations(receipts: DataFrame, markdown: DataFrame, anchors: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """keys, failure: counts and hashes of derived artifacts. receipts: keys, normalized_chars, anchor_count, link_count."""
     n_anchors, n_links = anchors.groupBy(*keys).agg(F.count("*").alias("_a")), links.groupBy(*keys).agg(F.count("*").alias("_l"))

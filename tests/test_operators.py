@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -172,3 +173,17 @@ def test_small_rules(spark):
     assert crawl.summary_line(counts).first().summary == "partial 3/4"
     with pytest.raises(ValueError):
         merge.check_adapters({"exa": None}, 1, ("exa",))
+
+
+def test_paths_flags_and_source_of_a_bundle(spark):
+    body = b"raw bytes"
+    sha = hashlib.sha256(body).hexdigest()
+    stated = spark.createDataFrame([(1, "raw", "raw.html"), (1, "links", "links.json"), (2, "raw", "raw.html"), (2, "links", "l.json"), (3, "raw", "raw.a"), (3, "raw", "raw.b"), (4, "raw", "raw.html")], "id int, role string, path string")
+    there = spark.createDataFrame([(1, "raw.html", body), (2, "raw.html", body), (3, "raw.a", body), (3, "raw.b", body)], "id int, path string, body binary")
+    receipts = spark.createDataFrame([(1, ["direct"], False, False, 9, sha), (2, ["jina"], False, True, 8, "0"), (3, ["firecrawl"], True, True, 1, "0"), (4, ["direct"], False, True, 1, "0")], "id int, route array<string>, remote_adapter_used boolean, authenticated_adapter_used boolean, source_bytes long, source_sha256 string")
+    attempts = spark.createDataFrame([(1, "skipped", True, True), (4, "failed", True, True)], "id int, status string, remote_adapter boolean, authenticated_adapter boolean")
+    found = lambda df: sorted((r.id, r.failure) for r in df.collect())
+    assert found(verify.path_violations(stated, ["id"])) == [(2, "unexpected links artifact path: l.json")]
+    remote, authenticated = (f"{x} adapter policy flag does not match route" for x in ("remote", "authenticated"))
+    assert found(verify.flag_violations(receipts, attempts, ["id"])) == [(2, authenticated), (2, remote), (4, remote)]
+    assert found(verify.source_violations(receipts, stated, there, ["id"])) == [(2, "source byte count does not match raw artifact"), (2, "source sha256 does not match raw artifact")]
