@@ -134,6 +134,19 @@ def test_crawl_is_the_queue(spark, seed):
     assert {x.url: (x.depth, x.status, x.attempts) for x in got} == queue_crawl(links, fails, budget, 3)
 
 
+@pytest.mark.parametrize("budget", [60, 1000])
+def test_deep_and_wide_crawl_is_the_queue(spark, budget):
+    n = 400
+    links = {f"https://s/{i}": [f"https://s/{(i + 1) % n}", f"https://s/{(i * 7 + 3) % n}", f"https://o/{i}"] for i in range(n)}
+    fails = {f"https://s/{i}": 2 for i in range(4, n, 5)}
+    rows = [(u, k, v) for u, out in links.items() for k, v in enumerate(out)]
+    results = [(u, a, "fetch_failed" if fails.get(u, 0) >= a else None, True) for u in links for a in (1, 2)]
+    got = crawl.crawl("https://s/0", spark.createDataFrame(rows, "url string, pos int, target string"), spark.createDataFrame(results, "url string, attempt int, error_code string, retryable boolean"), max_pages=budget, max_depth=10).collect()
+    want = queue_crawl(links, fails, budget, 10)
+    assert {x.url: (x.depth, x.status, x.attempts) for x in got} == want
+    assert max(d for d, _, _ in want.values()) > 4 and any(s == "pending" for _, s, _ in want.values()) == (budget == 60)
+
+
 def test_pacing_and_recovery(spark):
     df = spark.createDataFrame([("h", 0.0), ("h", 0.25), ("h", 5.0), ("g", 0.1)], "host string, at double")
     assert sorted((r.host, r.at, r.wait) for r in crawl.pacing(df).collect()) == [("g", 0.1, 0.0), ("h", 0.0, 0.0), ("h", 0.25, 0.75), ("h", 5.0, 0.0)]
