@@ -6,14 +6,19 @@ learned by expectation-maximisation: the training rows of one part are held out,
 the others, and the weights maximize the likelihood of the held-out bigrams. Scores use all training counts.
 
 Counts are exact and cover every training row. Texts are worked on in chunks of bounded size. Each chunk asks for
-the counts of its distinct words and bigrams, dealt by hash to partitions; a partition adds up what all chunks
-counted, and answers each chunk in the order asked. So a word of any frequency crosses the shuffle once for each
-chunk, no row of a hot word meets another, and a text is scored where its chunk is. Words and bigrams are known by
-64-bit hashes; tokens of a chunk travel as numbers of its words.
+the counts of its distinct words and bigrams, dealt by ranges of their hashes to partitions; a partition adds up what
+all chunks counted, and answers each chunk in the order of the hashes. So a word of any frequency crosses the shuffle
+once for each chunk, no row of a hot word meets another, and a text is scored where its chunk is. Words and bigrams are
+known by 64-bit hashes; tokens of a chunk travel as numbers of its words. To learn the weights only the held-out texts
+travel, with what the others counted of their words and bigrams; to score, all texts, with all counts.
+
+Rows of a partition are put in order first, so that work done again after a lost executor cuts the same chunks,
+whatever order its rows come in.
 
 Defined results: a null text counts as empty and has the end token alone. Without training rows, counts are 0 and all
-probabilities are uniform. Rows that repeat are each counted and returned. An empty table gives an empty result.
-Columns other than the id and the text are ignored.
+probabilities are uniform. Rows that repeat are each counted and returned; rows that tie in id and text have equal
+scores. A very long text is a chunk of its own, worked on in one task with about 30 bytes a token. An empty table gives
+an empty result. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +53,7 @@ END, START = b"\x00end", b"\x00start"  # no word holds a byte 0 first
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _ASKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("chunk", T.StringType()), T.StructField("data", T.BinaryType())])
+_ANSWERS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("chunk", T.StringType()), T.StructField("counts", T.BinaryType()), T.StructField("rest", T.BinaryType())])
 _TEXTS = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("data", T.BinaryType())])
 _CELLS = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
 _SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -105,11 +111,17 @@ class Chunk:
         """Remainder of each text's row."""
         return np.array([zlib.crc32(b"" if i == np.iinfo(np.int64).min else b"%d" % i) % folds for i in self.ids.tolist()], dtype=np.int64)
 
+    def only(self, texts: np.ndarray) -> Chunk:
+        """The marked texts alone, with the keys of their own words and bigrams."""
+        mine = np.repeat(texts, self.sizes)
+        held, words = np.unique(self.words[mine], return_inverse=True)
+        return Chunk(self.ids[texts], self.sizes[texts], words, np.append(self.word_keys[held], self.word_keys[-1]))
+
     def counts(self, fold: int | None, folds: int) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of words then bigrams, and those of them in the deleted part; the start counts the texts."""
         remainder = self.folds(folds)
         out = []
-        for texts in (remainder != fold if fold is not None else np.ones(len(remainder), dtype=bool), remainder == DELETED if fold != DELETED else np.zeros(len(remainder), dtype=bool)):
+        for texts in (remainder != fold if fold is not None else np.ones(len(remainder), dtype=bool), remainder == deleted_part(fold)):
             mine = np.repeat(texts, self.sizes)
             words = np.bincount(self.words[mine], minlength=len(self.word_keys))
             words[-1] = texts.sum()
@@ -129,6 +141,18 @@ class Chunk:
         return cls(ids, sizes.astype(np.int64), words.astype(np.int64), keys)
 
 
+def deleted_part(fold: int | None) -> int:
+    """The remainder of the training rows that are held out to learn the weights."""
+    return DELETED if fold != DELETED else DELETED + 1
+
+
+def ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and where in it each partition's range begins and the last one ends."""
+    order = np.argsort(keys)
+    first = np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
+    return order, np.append(np.searchsorted(keys[order], first), len(keys))
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -166,9 +190,7 @@ def _asker(chars: int, parts: int, fold: int | None, folds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk in chunks(batches, chars):
             keys, (counts, deleted) = chunk.keys, chunk.counts(fold, folds)
-            part = (keys % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            order, ends = ranges(keys, parts)
             rows = []
             for p in range(parts):
                 at = order[ends[p] : ends[p + 1]]
@@ -180,16 +202,24 @@ def _asker(chars: int, parts: int, fold: int | None, folds: int):
     return run
 
 
-def _teller(chars: int):
+def _teller(chars: int, part: int | None, folds: int):
+    """The chunks with all their texts, or with those of one part alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk in chunks(batches, chars):
+            if part is not None:
+                mine = chunk.folds(folds) == part
+                if not mine.any():
+                    continue
+                chunk = chunk.only(mine)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([chunk.data()], type=pa.binary())], names=_TEXTS.names)
 
     return run
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
-    """Add up the counts of one partition of keys. Rows of chunk '' tell its tokens and distinct tokens."""
+    """Add up the counts of one partition of keys: for each chunk all counts of its keys, and, of the keys that its
+    deleted part holds, the counts without the deleted part. The row of chunk '' tells tokens and distinct tokens."""
     asked = asked.sort_values("chunk")
     found = [unpack(d, "<u8", "<u4", "<u4", "<u1") for d in asked["data"]]
     keys = np.concatenate([f[0] for f in found])
@@ -202,29 +232,28 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     for name, f in zip(asked["chunk"], found, strict=True):
         mine = place[at : at + len(f[0])]
         at += len(f[0])
-        out.append((name, pack(counts[mine], deleted[mine])))
+        held = mine[f[2] > 0]
+        out.append((name, pack(counts[mine]), pack(counts[held] - deleted[held]) if len(held) else None))
     total = (counts[words].sum(), (counts[words] > 0).sum(), deleted[words].sum(), (counts[words] > deleted[words]).sum())
-    out.append(("", pack(np.array(total, dtype="<u8"), np.empty(0, dtype="<u8"))))
+    out.append(("", pack(np.array(total, dtype="<u8")), None))
     part = int(asked["part"].iloc[0])
-    return pd.DataFrame({"part": [part] * len(out), "chunk": [o[0] for o in out], "data": [o[1] for o in out]})
+    return pd.DataFrame({"part": [part] * len(out), "chunk": [o[0] for o in out], "counts": [o[1] for o in out], "rest": [o[2] for o in out]})
 
 
-def _joined(texts: pd.DataFrame, answers: pd.DataFrame, parts: int) -> list[tuple[Chunk, np.ndarray, np.ndarray]]:
+def _joined(texts: pd.DataFrame, answers: pd.DataFrame, parts: int) -> list[tuple[Chunk, np.ndarray]]:
     """The chunk with the counts of its words and bigrams in its own order; equal chunks may be there several times."""
     if not len(texts):
         return []
     chunk = Chunk.of(texts["data"].iloc[0])
     keys = chunk.keys
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    got = {int(p): unpack(d, "<u8", "<u8") for p, d in zip(answers["part"], answers["data"], strict=True)}
-    counts, deleted = (np.empty(len(keys), dtype=np.int64) for _ in range(2))
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    order, ends = ranges(keys, parts)
+    got = dict(zip(answers["part"].tolist(), answers["data"], strict=True))
+    counts = np.empty(len(keys), dtype=np.int64)
     for p in range(parts):
         at = order[ends[p] : ends[p + 1]]
         if len(at):
-            counts[at], deleted[at] = got[p]
-    return [(chunk, counts, deleted)] * len(texts)
+            counts[at] = unpack(got[p], "<u8")[0]
+    return [(chunk, counts)] * len(texts)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -232,17 +261,14 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _gather(parts: int, total: tuple[int, int], folds: int):
+def _gather(parts: int, n: int):
     """Held-out bigrams by bucket and by the logarithms of their two estimates: at most BUCKETS cells times a grid."""
-    n, distinct = total
 
     def run(_key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         cells, sizes = [], []
-        for chunk, counts, deleted in _joined(texts, answers, parts):
-            left = counts - deleted
-            mine = np.repeat(chunk.folds(folds) == DELETED, chunk.sizes)
+        for chunk, left in _joined(texts, answers, parts):
             words, pairs = left[: len(chunk.word_keys)], left[len(chunk.word_keys) :]
-            bigram, context, word = pairs[chunk.pair_of[mine]], words[chunk.before[mine]], words[chunk.words[mine]]
+            bigram, context, word = pairs[chunk.pair_of], words[chunk.before], words[chunk.words]
             cell = (bucket_of(context) << 40) | (grain(bigram, context) << 20) | grain(word, np.full(len(word), n))
             c, k = np.unique(cell, return_counts=True)
             cells.append(c)
@@ -281,7 +307,7 @@ def _scorer(parts: int, total: tuple[int, int], weights: np.ndarray, fold: int |
 
     def run(_key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for chunk, counts, _ in _joined(texts, answers, parts):
+        for chunk, counts in _joined(texts, answers, parts):
             words, pairs = counts[: len(chunk.word_keys)], counts[len(chunk.word_keys) :]
             bigram, context, word = pairs[chunk.pair_of], words[chunk.before], words[chunk.words]
             w = weights[bucket_of(context)]
@@ -301,27 +327,34 @@ def _scorer(parts: int, total: tuple[int, int], weights: np.ndarray, fold: int |
     return run
 
 
+def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids and texts, each partition's rows in an order that follows from the rows alone."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).sortWithinPartitions("doc_id", "text")
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold: int | None = 2, folds: int = FOLDS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows outside the held-out fold (all rows if `fold` is None).
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = ordered(docs, id_col, text_col)
     parts = max(1, PARTS * texts.rdd.getNumPartitions())
     asked = texts.mapInArrow(_asker(chunk_chars, parts, fold, folds), _ASKED)
-    answers = cut_lineage(asked.repartition(parts, "part").groupBy("part").applyInPandas(_answer, _ASKED))
+    answers = cut_lineage(asked.repartition(parts, "part").groupBy("part").applyInPandas(_answer, _ANSWERS))
     sums = np.zeros(4, dtype=np.int64)
-    for r in answers.filter("chunk = ''").select("data").toLocalIterator():  # a few numbers from each partition
-        sums += unpack(bytes(r["data"]), "<u8", "<u8")[0].astype(np.int64)
-    total, left = (int(sums[0]), int(sums[1])), (int(sums[0] - sums[2]), int(sums[3]))
+    for r in answers.filter("chunk = ''").select("counts").toLocalIterator():  # a few numbers from each partition
+        sums += unpack(bytes(r["counts"]), "<u8")[0].astype(np.int64)
+    total = int(sums[0]), int(sums[1])
 
-    def at_chunks(work, schema: T.StructType) -> DataFrame:
-        told = texts.mapInArrow(_teller(chunk_chars), _TEXTS)
-        return told.groupBy("chunk").cogroup(answers.filter("chunk != ''").groupBy("chunk")).applyInPandas(work, schema)
+    def at_chunks(work, schema: T.StructType, told: int | None, answer: str) -> DataFrame:
+        asking = texts.mapInArrow(_teller(chunk_chars, told, folds), _TEXTS)
+        mine = answers.filter((F.col("chunk") != "") & F.col(answer).isNotNull()).select("part", "chunk", F.col(answer).alias("data"))
+        return asking.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInPandas(work, schema)
 
-    cells = at_chunks(_gather(parts, left, folds), _CELLS).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    gathered = at_chunks(_gather(parts, int(sums[0] - sums[2])), _CELLS, deleted_part(fold), "rest")
+    cells = gathered.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), total[1])
-    scored = at_chunks(_scorer(parts, total, weights, fold, folds), _SCORES)
+    scored = at_chunks(_scorer(parts, total, weights, fold, folds), _SCORES, None, "counts")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total[0]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -92,3 +92,25 @@ def test_repeated_rows_and_empty_table(documents):
     got = score_texts(documents([(1, "a b"), (1, "a b"), (1, "c d")])).collect()
     assert len(got) == 3 and len({round(x.score, 9) for x in got}) <= 2
     assert score_texts(documents([])).collect() == []
+
+
+def test_chunks_do_not_depend_on_the_order_of_a_partitions_rows(documents):
+    import lodestone.llm.op_deleted_interpolation as m
+
+    rows = ODD + corpus(80)
+    names = []
+    for own in (rows, rows[::-1], rows[40:] + rows[:40]):
+        told = m.ordered(documents(own).coalesce(1), "doc_id", "text").mapInArrow(m._teller(500, None, 7), m._TEXTS)
+        names.append(sorted(x.chunk for x in told.collect()))
+    assert len(names[0]) > 5 and names[0] == names[1] == names[2]
+
+
+def test_weights_do_not_depend_on_the_chunks(documents, monkeypatch):
+    import lodestone.llm.op_deleted_interpolation as m
+
+    learn, seen = m.learn_weights, []
+    monkeypatch.setattr(m, "learn_weights", lambda cells, n, distinct: seen.append(sorted(zip(cells.tolist(), n.tolist(), strict=True))) or learn(cells, n, distinct))
+    rows = corpus(150)
+    for chars in (300, 8_000_000):
+        m.score_texts(documents(rows).repartition(2), chunk_chars=chars).collect()
+    assert seen[0] == seen[1] and sum(n for _, n in seen[0]) == sum(len(split(t)) for i, t in rows if fold(i) == 0)
