@@ -5,8 +5,9 @@ shard is appended, rows move only into it, about one in (n + 1). Laws: `key`; si
 near equal only as far as the hash deals keys evenly.
 
 Defined results: a null text has no bytes and the CRC-32 of an empty string; a null key is a key like any
-other; rows that repeat a key share its shard and have slots of their own. An empty table gives an empty
-result. Columns other than the key and the text are ignored.
+other; rows that repeat a key share its shard and have slots of their own; rows that tie in everything may stand in
+either one's slot. Of a very long text only its size and checksum are taken. An empty table gives an empty result.
+Columns other than the key and the text are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from lodestone.session import cut_lineage, table
 
 SHARDS = 40
 ROW_BYTES = 16
-#: Parts of a shard that are numbered apart.
-SPREAD = 32
 
 _MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -54,7 +53,7 @@ def _shard_of(shards: int):
     return shard
 
 
-def jump_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS, row_bytes: int = ROW_BYTES, spread: int = SPREAD) -> DataFrame:
+def jump_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS, row_bytes: int = ROW_BYTES) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Only ids, sizes and checksums are shuffled; texts stay where they are read.
@@ -63,7 +62,7 @@ def jump_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(key_col).alias("doc_id"), (F.octet_length(text) + row_bytes).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.xxhash64("doc_id")
     rows = cut_lineage(rows.withColumn("shard", _shard_of(shards)(key)).withColumn("grown_shard", _shard_of(shards + 1)(key)))
-    return gapless(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", spread).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return gapless(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", rows.count()).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

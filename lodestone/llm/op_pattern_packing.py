@@ -2,14 +2,16 @@
 
 Documents become token pieces of at most `capacity`. The histogram of their lengths (at most `capacity` bins) is
 all that reaches the driver. Patterns of one, two or three lengths that fill a sequence are enumerated, and the
-number of times that each repeats is fitted to the histogram by non-negative least squares, rounded down and
-held to the pieces there are. What is left is packed best fit first, bin by bin of the histogram. The outcome is
-a plan of bounded size: intervals of ranks within a length, each with its pattern's sequences. Pieces are ranked
-within their length by gapless numbers and find their place by search in the plan.
+number of times that each repeats is fitted to the histogram by non-negative least squares. Repeats are rounded so
+that their sum stays, by largest remainders, and held to the pieces there are. Only what is left then is packed best
+fit first, bin by bin of the histogram. The outcome is a plan of bounded size: intervals of ranks within a length,
+each with its pattern's sequences. Pieces are ranked within their length by gapless numbers and find their place by
+search in the plan.
 
 Defined results: a null or empty text is a document of the end token alone. Rows that repeat an id are packed each;
-their pieces are told apart by place only. An empty table gives an empty result. Columns other than the id and the
-text are ignored. A very long text is encoded in one task and held as 4 bytes a token.
+their pieces are told apart by place only, and pieces that tie in everything may stand in either one's place. An empty
+table gives an empty result. Columns other than the id and the text are ignored. A very long text is encoded in one
+task and held as 4 bytes a token.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ END_ID = 2
 CACHE_PIECES = 800_000
 CALL_CHARS = 4_000_000
 #: Steps of the least-squares fit, and the most patterns of three lengths it is given.
-FIT_STEPS = 300
+FIT_STEPS = 3000
 TRIPLES = 60_000
-#: Parts in which the pieces of one length are ranked.
-SPREAD = 16
+#: Room that a sequence taken from the fit may waste, as a share of the capacity.
+LOOSE = 64
 
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
@@ -177,6 +179,40 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, waste: np.ndarray, ste
     return x
 
 
+def fitted(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, repeats) by the least-squares fit, rounded; takes the pieces out of `left`.
+
+    Whole repeats are taken first, then one more by largest remainders until the repeats add up to the fit's own sum.
+    A sequence that isn't full leaves room that the residual can use, so only tight patterns are taken from the fit.
+    """
+    lengths = np.array(sorted((v for v, n in left.items() if n), reverse=True), dtype=np.int64)
+    patterns = enumerate_patterns(lengths, capacity)
+    used = np.where(patterns >= 0, lengths[np.maximum(patterns, 0)], 0)
+    waste = 1 - used.sum(axis=1) / capacity
+    x = fit_repeats(patterns, np.array([left[int(v)] for v in lengths], dtype=np.float64), waste)
+    tight = np.flatnonzero((used.sum(axis=1) >= capacity - max(1, capacity // LOOSE)) & (x > 0))
+    out: list[tuple[tuple[int, ...], int]] = []
+
+    def take(k: int, repeats: int) -> int:
+        shape = tuple(int(v) for v in used[k] if v)
+        need = {v: shape.count(v) for v in shape}
+        repeats = min(repeats, *(left[v] // m for v, m in need.items()))
+        if repeats:
+            out.append((shape, repeats))
+            for v, m in need.items():
+                left[v] -= m * repeats
+        return repeats
+
+    whole = np.floor(x[tight]).astype(np.int64)
+    remainder = x[tight] - whole
+    open_ = round(x[tight].sum()) - sum(take(k, n) for k, n in zip(tight.tolist(), whole.tolist(), strict=True) if n)
+    for i in np.lexsort((waste[tight], -remainder)):
+        if open_ <= 0 or not remainder[i]:
+            break
+        open_ -= take(int(tight[i]), 1)
+    return out
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, repeats) that use up the histogram; of a size that only the capacity bounds."""
     left = {length: n for length, n in histogram.items() if n > 0}
@@ -184,23 +220,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     if n := left.pop(capacity, 0):
         out.append(((capacity,), n))
     if left:
-        lengths = np.array(sorted(left, reverse=True), dtype=np.int64)
-        patterns = enumerate_patterns(lengths, capacity)
-        used = np.where(patterns >= 0, lengths[np.maximum(patterns, 0)], 0)
-        waste = 1 - used.sum(axis=1) / capacity
-        x = fit_repeats(patterns, np.array([left[int(v)] for v in lengths], dtype=np.float64), waste)
-        # a sequence that isn't full leaves room that the residual can use, so only tight patterns are taken from the fit
-        for k in np.lexsort((-x, waste)):
-            repeats = int(x[k])
-            if repeats < 1 or used[k].sum() < capacity - max(1, capacity // 64):
-                continue
-            shape = tuple(int(v) for v in used[k] if v)
-            need = {v: shape.count(v) for v in shape}
-            repeats = min(repeats, *(left[v] // m for v, m in need.items()))
-            if repeats:
-                out.append((shape, repeats))
-                for v, m in need.items():
-                    left[v] -= m * repeats
+        out += fitted(left, capacity)
     return out + best_fit(left, capacity)
 
 
@@ -268,7 +288,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
     cut = cut_lineage(texts.mapInArrow(_token_pieces(path or public_tokenizers.path(TOKENIZER), capacity, end_id), _PIECES))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = intervals(plan(histogram, capacity))
-    ranked = gapless(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank", SPREAD)
+    ranked = gapless(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank", sum(histogram.values()))
     if not found:
         return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return ranked.withColumn("place", _placer(found)("length", "rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")

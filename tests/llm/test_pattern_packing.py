@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lodestone.llm.op_pattern_packing import best_fit, cut_lengths, intervals, pack, plan
+from lodestone.llm.op_pattern_packing import best_fit, cut_lengths, enumerate_patterns, fit_repeats, fitted, intervals, pack, plan
 from tests.llm.conftest import ODD
 
 
@@ -25,6 +25,26 @@ def test_plan_uses_each_piece_once_and_is_tight():
         assert sequences <= math.ceil(lengths.sum() / 1024) * 1.01 + 1
 
 
+def test_the_fit_places_most_pieces_and_no_more_sequences_are_needed_than_by_best_fit():
+    r = np.random.default_rng(4)
+    for n in (300, 1500, 200_000):
+        lengths = np.clip(r.lognormal(5.8, 0.9, n).astype(int), 1, 1023)
+        histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+        left = dict(histogram)
+        placed = sum(len(shape) * repeats for shape, repeats in fitted(left, 1024))
+        assert placed > 0.5 * n and placed + sum(left.values()) == n and min(left.values()) >= 0
+        assert sum(k for _, k in plan(histogram)) <= 1.002 * sum(k for _, k in best_fit(histogram, 1024)) + 1
+
+
+def test_fit_is_the_least_squares_one():
+    lengths = np.array([700, 600, 424, 324])
+    patterns = enumerate_patterns(lengths, 1024)
+    counts = np.array([30.0, 20.0, 20.0, 30.0])
+    x = fit_repeats(patterns, counts, np.zeros(len(patterns)))
+    a = np.stack([(patterns == k).sum(axis=1) for k in range(4)]).astype(float)
+    assert (x >= 0).all() and np.linalg.norm(a @ x - counts) < 1e-6
+
+
 def test_best_fit_of_awkward_lengths():
     assert sum(n for _, n in best_fit({600: 7, 424: 3}, 1024)) == 7
     assert plan({}) == [] and intervals([]) == {}
