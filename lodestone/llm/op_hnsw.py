@@ -1,17 +1,24 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards by the hash of their id; a shard holds a bounded number of vectors on average. Each shard
-builds a graph of its distinct vectors, stored as flat arrays of neighbours, one for each level. Nearness is the inner
-product: vectors get one more component that makes all lengths equal, so that the largest inner product is the nearest
-in angle. Points are inserted in batches: a batch searches the graph built so far, all its points at once, and its
-points are neighbours of each other too. Queries are searched in every shard in blocks, and the shards' results are
-merged by exact inner product in double precision. A small shard is compared whole.
+Vectors are dealt to shards by the hash of their row; a shard holds a bounded number of vectors on average. Each shard,
+of whatever size, builds a graph of its distinct vectors, stored as flat arrays of neighbours, one for each level.
+Nearness is the inner product: vectors get one more component that makes all lengths equal, so that the largest inner
+product is the nearest in angle. Points are inserted in batches that grow with the graph: a batch searches the graph
+built so far, all its points at once, and its points are neighbours of each other too. A search goes down the levels
+with all that it found on the one above, so that clusters apart from each other are reached.
+
+Queries are searched in every shard in blocks of bounded size, and the shards' results are merged by exact inner
+product in double precision. Work and shuffled queries are therefore queries times shards, that is, with a twentieth of
+the rows as queries, the square of the table: the price of an index whose every shard is searched.
 
 Copies of a vector are one point of the graph, with the ids that a result can need.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part. Only vectors of equal
-dimension meet. A query never returns its own row; ties go to the smaller id. An empty table gives an empty result.
-Columns other than the id and the vector are ignored.
+Defined results: vectors that are null, zero, empty, or hold null or non-finite components, and rows with a null id,
+take no part. Only vectors of equal dimension meet; very long ones are rows like any other. Rows that repeat an id and a
+vector count once. Rows of one id with different vectors are rows of their own: each is a candidate for the other, and
+as queries each has its own list of ranks under their id. A query never returns its own row; ties go to the smaller id.
+With fewer candidates than wanted, all are returned. An empty table gives an empty result. Columns other than the id
+and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +33,22 @@ from pyspark.sql import types as T
 
 from lodestone.session import cut_lineage, table
 
-#: Vectors in a shard, on average; neighbours of a point on the lowest level (half on others); breadth of searches.
+#: Vectors in a shard, on average, and shards at least; neighbours of a point on the lowest level (half on others);
+#: breadth of searches, on the lowest level and above.
 SHARD_VECTORS = 13_000
+LEAST_SHARDS = 2
 NEIGHBOURS = 24
 BUILD_BREADTH = 64
 SEARCH_BREADTH = 128
-BATCH = 512
-#: Shards of so few distinct vectors are compared whole.
-WHOLE = 1024
-#: Queries searched at once in a shard.
+UPPER_BREADTH = 32
+#: Points inserted at once: as many as the graph holds, between these.
+FIRST_BATCH, BATCH = 32, 512
+#: Queries that meet a shard in one task, and of these the ones searched at once.
+TASK_QUERIES = 16_384
 BLOCK = 512
 
 _INDEX = T.StructType([T.StructField("shard", T.LongType()), T.StructField("dimension", T.IntegerType()), T.StructField("graph", T.BinaryType())])
-_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 class Graph:
@@ -54,26 +64,26 @@ class Graph:
         self.level = np.minimum((-np.log(1 - random.random(n)) / np.log(neighbours / 2)).astype(np.int64), 8)
         self.links = []
         self.entry = -1
-        if n <= WHOLE:
-            return
         self.level[0] = self.level.max()  # the first point is on all levels
         self.entry = 0
         width = [neighbours * 2 if k == 0 else neighbours for k in range(int(self.level[0]) + 1)]
         self.links = [np.full((n if k == 0 else int((self.level >= k).sum()), w), -1, dtype=np.int32) for k, w in enumerate(width)]
         self.place = [np.arange(n)] + [np.where(self.level >= k, np.cumsum(self.level >= k) - 1, -1) for k in range(1, len(width))]
-        for at in range(0, n, BATCH):
-            self._insert(np.arange(at, min(at + BATCH, n)), neighbours, breadth)
+        at = 0
+        while at < n:
+            end = min(n, at + min(BATCH, max(FIRST_BATCH, at)))
+            self._insert(np.arange(at, end), neighbours, breadth)
+            at = end
 
     def _insert(self, batch: np.ndarray, neighbours: int, breadth: int) -> None:
         """Link a batch of points; those with smaller numbers are in the graph."""
         old = batch[0]
-        starts = np.full(len(batch), self.entry)
+        starts = np.full((len(batch), 1), self.entry)
         for k in range(len(self.links) - 1, -1, -1):
             mine = self.level[batch] >= k
             if old:
-                wide = breadth if mine.any() else 1
-                found, near = self._search(self.points[batch], starts, k, wide)
-                starts = found[:, 0]
+                found, near = self._search(self.points[batch], starts, k, breadth if mine.any() else UPPER_BREADTH)
+                starts = found[:, :UPPER_BREADTH]
             else:
                 found, near = np.zeros((len(batch), 0), dtype=np.int64), np.zeros((len(batch), 0), dtype=np.float32)
             own = batch[mine]
@@ -81,7 +91,7 @@ class Graph:
                 continue
             each = self.points[own] @ self.points[own].T
             np.fill_diagonal(each, -np.inf)
-            top = min(neighbours, len(own) - 1)
+            top = min(2 * neighbours, len(own) - 1)
             beside = np.argpartition(-each, top - 1, axis=1)[:, :top] if top > 0 else np.zeros((len(own), 0), dtype=np.int64)
             ids = np.concatenate((found[mine], own[beside]), axis=1)
             scores = np.concatenate((near[mine], np.take_along_axis(each, beside, axis=1)), axis=1)
@@ -135,14 +145,18 @@ class Graph:
             links[self.place[k][part]] = kept
 
     def _search(self, queries: np.ndarray, starts: np.ndarray, k: int, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best `breadth` points of level k for each query, nearest first (-1: none), and their products; all queries at once."""
+        """Best `breadth` points of level k for each query, nearest first (-1: none), and their products; all queries
+        at once, each from its own starts (-1: none), at most `breadth` of them."""
         n, rows = len(queries), np.arange(len(queries))
+        given = starts >= 0
+        row, column = np.nonzero(given)
         ids = np.full((n, breadth), -1, dtype=np.int64)
         scores = np.full((n, breadth), -np.inf, dtype=np.float32)
         open_ = np.zeros((n, breadth), dtype=bool)
         seen = np.zeros((n, len(self.points)), dtype=bool)
-        ids[:, 0], scores[:, 0], open_[:, 0] = starts, np.einsum("ij,ij->i", queries, self.points[starts]), True
-        seen[rows, starts] = True
+        ids[:, : starts.shape[1]], open_[:, : starts.shape[1]] = starts, given
+        scores[row, column] = np.einsum("ij,ij->i", queries[row], self.points[starts[row, column]])
+        seen[row, starts[row, column]] = True
         active = rows
         while len(active):
             best = np.where(open_[active], scores[active], -np.inf).argmax(axis=1)
@@ -168,13 +182,11 @@ class Graph:
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
     def search(self, queries: np.ndarray, breadth: int = SEARCH_BREADTH) -> np.ndarray:
-        """Points near each query, at most `breadth`, or all of a small graph; -1: none."""
-        if not self.links:
-            return np.tile(np.arange(len(self.vectors)), (len(queries), 1))
+        """Points near each query, at most `breadth`; -1: none."""
         own = np.column_stack((queries, np.zeros(len(queries)))).astype(np.float32)
-        starts = np.full(len(queries), self.entry)
+        starts = np.full((len(queries), 1), self.entry)
         for k in range(len(self.links) - 1, 0, -1):
-            starts = self._search(own, starts, k, 4)[0][:, 0]
+            starts = self._search(own, starts, k, min(UPPER_BREADTH, breadth))[0]
         return self._search(own, starts, 0, breadth)[0]
 
 
@@ -217,16 +229,16 @@ def _indexer(copies: int):
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, results: int = 20, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """One row per shard and dimension: its graph. Every vector is indexed; the number of shards follows the rows."""
     rows = usable(vectors, id_col, vector_col)
-    shards = max(1, -(-rows.count() // shard_vectors))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("shard", F.size("vector").alias("dimension")).applyInPandas(_indexer(results + 1), _INDEX)
+    shards = max(LEAST_SHARDS, -(-rows.count() // shard_vectors))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))).groupBy("shard", F.size("vector").alias("dimension")).applyInPandas(_indexer(results + 1), _INDEX)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
+    """vec_id and vector (doubles) of the rows that take part; rows that repeat both count once."""
     vector = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    return rows.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
+    return rows.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "vector"])
 
 
 def _searcher(results: int, breadth: int):
@@ -237,16 +249,17 @@ def _searcher(results: int, breadth: int):
             for at in range(0, len(queries), BLOCK):
                 part = queries.iloc[at : at + BLOCK]
                 own = np.array(part["vector"].tolist(), dtype=np.float64).reshape(len(part), -1)
-                for query_id, q, found in zip(part["vec_id"], own, graph.search(own, breadth), strict=True):
+                for query_id, query, q, found in zip(part["vec_id"], part["query"], own, graph.search(own, breadth), strict=True):
                     found = found[found >= 0]
                     score = graph.vectors[found] @ q
                     n = first[found + 1] - first[found]
                     at_ids = np.repeat(first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    vec_id, score = ids[at_ids], np.repeat(score, n)
-                    mine = vec_id != query_id
-                    vec_id, score = vec_id[mine], score[mine]
+                    vec_id, same = ids[at_ids], np.repeat((graph.vectors[found] == q).all(axis=1), n)
+                    score = np.repeat(score, n)
+                    other = (vec_id != query_id) | ~same
+                    vec_id, score = vec_id[other], score[other]
                     best = np.lexsort((vec_id, -score))[:results]
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": vec_id[best], "score": score[best]}))
+                    out.append(pd.DataFrame({"query_id": query_id, "query": query, "vec_id": vec_id[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({f.name: pd.Series(dtype="int64" if f.name != "score" else "float64") for f in _FOUND})
 
     return run
@@ -255,13 +268,17 @@ def _searcher(results: int, breadth: int):
 def search_index(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, results: int = 20, breadth: int = SEARCH_BREADTH) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the nearest found to each query, its own row left out.
 
-    Each query goes to every shard of its dimension, a shard's queries in blocks of bounded size; a query gets at most
-    `results` rows from each.
+    Each query goes to every shard of its dimension, in blocks of bounded size that meet the shard in tasks of their
+    own; a query gets at most `results` rows from each.
     """
+    own = usable(queries, id_col, vector_col)
+    blocks = max(1, -(-own.count() // TASK_QUERIES))
+    own = own.withColumn("query", F.xxhash64("vec_id", "vector")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     shards = index.select(F.col("shard").alias("to_shard"), F.col("dimension").alias("in_dimension")).distinct()
-    asked = usable(queries, id_col, vector_col).join(shards, F.size("vector") == F.col("in_dimension"))
-    found = index.groupBy("shard", "dimension").cogroup(asked.groupBy("to_shard", "in_dimension")).applyInPandas(_searcher(results, breadth), _FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = own.join(shards, F.size("vector") == F.col("in_dimension"))
+    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = dealt.groupBy("shard", "dimension", "block").cogroup(asked.groupBy("to_shard", "in_dimension", "block")).applyInPandas(_searcher(results, breadth), _FOUND)
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= results).select("query_id", "rank", "vec_id", "score")
 
 

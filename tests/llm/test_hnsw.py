@@ -53,6 +53,43 @@ def test_large_shards_reach_the_recall(spark):
     assert len(by) == 150 and recall >= 0.9
 
 
+def test_graph_reaches_clusters_apart_from_each_other():
+    r = np.random.default_rng(2)
+    for n, spread in ((200, 0.3), (800, 0.05), (4000, 0.05)):
+        v = (r.normal(size=(n // 40, 1, 32)) + spread * r.normal(size=(n // 40, 40, 32))).reshape(-1, 32)[r.permutation(n)]
+        found = Graph(v).search(v[:80])
+        assert np.mean([len(set(np.argsort(-(v @ x))[:20]) & set(f.tolist())) for x, f in zip(v[:80], found, strict=True)]) / 20 >= 0.95
+
+
+def test_graphs_of_few_points():
+    for n in (1, 2, 3, 40):
+        v = np.random.default_rng(n).normal(size=(n, 4))
+        found = Graph(v).search(v)
+        assert all(set(f[f >= 0].tolist()) == set(range(n)) for f in found)
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (21, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [0.5, 0.5])]
+    df = frame(spark, [(i, v, "x") for i, v in rows])
+    got = search_index(build_index(df), df.filter("vec_id = 20")).select("rank", "vec_id", "score").collect()
+    first = [(1, 21, 1.0), (2, 22, 0.5), (3, 20, 0.0)]  # of [1, 0]; the other row of the id is a candidate
+    second = [(1, 22, 1.0), (2, 20, 0.0), (3, 21, 0.0)]  # of [0, 2]
+    assert sorted(map(tuple, got)) == sorted(first + second)
+
+
+def test_queries_in_several_blocks_of_several_shards(spark, monkeypatch):
+    import lodestone.llm.op_hnsw as m
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=6).astype(np.float32).tolist()) for i in range(400)]
+    df = frame(spark, [(i, v, "x") for i, v in rows])
+    index = build_index(df, shard_vectors=100)
+    assert index.count() == 4
+    whole = sorted(map(tuple, search_index(index, df).collect()))
+    monkeypatch.setattr(m, "TASK_QUERIES", 60)
+    assert sorted(map(tuple, m.search_index(index, df).collect())) == whole and len(whole) == 400 * 20
+
+
 def test_empty_table(spark):
     df = frame(spark, [])
     assert search_index(build_index(df), df).collect() == []
