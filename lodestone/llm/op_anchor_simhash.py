@@ -7,13 +7,16 @@ its share of those t of the home anchor in each block; so fingerprints are repli
 covering radius plus threshold, and fingerprints are compared at each anchor that is home to one of them. No link
 is missed. There are 2^24 anchors; a fingerprint goes to about 61 of them at a threshold of 2.
 
-Equal fingerprints are one node from the start. At an anchor only a forest of its links is kept, never all pairs.
-Components come from alternating stars over the links; nothing but counts reaches the driver.
+Equal fingerprints are one node from the start. An anchor that is home to very many is split: each part has some of
+the home fingerprints and meets all of the anchor's, block by block. At an anchor only a forest of its links is kept,
+never all pairs. Components come from alternating stars over the links; only counts, and one row for each PART_HOMES
+fingerprints at most that share a home, reach the driver.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any other; one
-with fewer words than a shingle has a single shingle. A null id never names a component unless all its ids are
-null. Rows that repeat are each returned. An empty table gives an empty result. Columns other than the id and the
-text are ignored.
+with fewer words than a shingle has a single shingle. A bit that is set in just half of the hashes is 0. A null id
+never names a component unless all its ids are null. Rows that repeat are each returned. Very long texts are hashed
+whole, in one task, and counted in blocks of shingles. An empty table gives an empty result. Columns other than the id,
+the text and, where named, the row's are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ GENERATOR, LENGTH, RADIUS = 0b110001110101, 23, 3
 #: Rows gathered before anchors are compared, and pairs compared at once.
 ROWS_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 2_000_000
+#: Home fingerprints of an anchor, or of a part of one, about.
+PART_HOMES = 20_000
 
-_ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+_ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("fp", T.LongType())])
 _PLACED = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("away", T.BooleanType()), T.StructField("fp", T.LongType())])
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -67,8 +72,8 @@ def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def _fingerprints(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t.as_py(), shingle_words) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=_ROWS.names)
+            fps = np.array([simhash(t.as_py(), shingle_words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=_ROWS.names)
 
     return run
 
@@ -126,12 +131,38 @@ def anchors(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _placed(most: int):
+def homes_of(fps: np.ndarray) -> np.ndarray:
+    """The home anchor of each fingerprint."""
+    anchor, away, fp = anchors(fps, 0)
+    order = np.argsort(fp, kind="stable")
+    return anchor[order][np.searchsorted(fp[order], fps)]
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(homes_of(batch.column(0).to_numpy(zero_copy_only=False)))], names=["anchor"])
+
+
+def split(anchor: np.ndarray, away: np.ndarray, fp: np.ndarray, parts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows at anchors with parts go to each of them; a home row is at home in one. A part's number stands above the anchor's bits."""
+    if not parts:
+        return anchor, away, fp
+    hot, n = np.array(sorted(parts), dtype=np.int64), np.array([parts[k] for k in sorted(parts)], dtype=np.int64)
+    at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+    each = np.where(hot[at] == anchor, n[at], 1)
+    row = np.repeat(np.arange(len(anchor)), each)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    mixed = fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = ((mixed ^ (mixed >> np.uint64(32))) % each.astype(np.uint64)).astype(np.int64)
+    return anchor[row] | part << 2 * LENGTH, away[row] | (part != own[row]), fp[row]
+
+
+def _placed(most: int, parts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in anchors(fps[at : at + 2000], most)], names=_PLACED.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in split(*anchors(fps[at : at + 2000], most), parts)], names=_PLACED.names)
 
     return run
 
@@ -222,6 +253,9 @@ def _compared(most: int):
                 cut = int(np.searchsorted(parts[0], parts[0][-1]))  # the last anchor may go on
                 if cut:
                     yield links([x[:cut] for x in parts])
+                elif parts[1][-1]:  # all of one anchor, and all its homes are here: they are kept to meet the rest
+                    yield links(parts)
+                    parts = [x[~parts[1]] for x in parts]
                 held, rows = [tuple(x[cut:] for x in parts)], len(parts[0]) - cut
         if rows:
             yield links([np.concatenate(x) for x in zip(*held, strict=True)])
@@ -229,18 +263,22 @@ def _compared(most: int):
     return run
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = SHINGLE_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
-    """One row per input row: doc_id, fp (signed 64 bits), component_id. Texts are not shuffled."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, row_col: str | None = None, shingle_words: int = SHINGLE_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
+    """One row per input row: doc_id, row (a number that tells rows apart, if `row_col` names one), fp (signed 64 bits),
+    root (the fingerprint that names the component), component_id. Texts are not shuffled."""
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     rows = cut_lineage(texts.mapInArrow(_fingerprints(shingle_words), _ROWS))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    placed = nodes.select("fp").mapInArrow(_placed(most_bits), _PLACED)
+    crowded = nodes.select("fp").mapInArrow(_homes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > PART_HOMES)
+    parts = {r["anchor"]: -(-r["n"] // PART_HOMES) for r in crowded.toLocalIterator()}
+    placed = nodes.select("fp").mapInArrow(_placed(most_bits, parts), _PLACED)
     links = placed.repartition("anchor").sortWithinPartitions("anchor", "away").mapInArrow(_compared(most_bits), _LINKS)
     roots = cut_lineage(components(links))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = cut_lineage(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id")))
-    labels = cut_lineage(named.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(labels, "fp")
+    labels = cut_lineage(named.join(least, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(labels, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
 def op10_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

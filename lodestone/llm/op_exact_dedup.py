@@ -5,9 +5,10 @@ hash of a joined text follows from the hashes of its parts: H(ab) = H(a) * r^len
 a huge text can be hashed in any order and on any machine. Texts of equal fingerprints are then compared chunk
 by chunk: the smallest and the largest chunk at each place must be the same.
 
-Defined results: a null text counts as empty; all empty texts form one group. Rows that repeat one id are
-separate members of their group, and just one of them stays. An empty table gives an empty result. Columns
-other than the id and the text are ignored.
+Defined results: a null text counts as empty; all empty texts form one group. Of texts that tie in code points the
+smallest id stays, a null one last; rows that repeat one id are separate members of their group, and just one of them
+stays. A very long text is hashed in one task and compared chunk by chunk. An empty table gives an empty result.
+Columns other than the id, the text and, where named, the row's are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from lodestone.session import cut_lineage, spread, table
 #: Two primes under 2^31 and a base for each.
 MODULI = ((2147483647, 1099087573), (2147483629, 873651241))
 CHUNK_BYTES = 1 << 16
-#: Bits of the map of fingerprints that occur twice or more; 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of the map of fingerprints that occur twice or more: so many for each of them, between these; 64 MB at most.
+#: A fuller map lets more texts through to the comparison, which tells them apart all the same.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 18, 1 << 29
 WHITE = b" \t\n\v\f\r"
 
 _FEATURES = T.StructType(
@@ -84,17 +86,13 @@ def fingerprint(data: bytes, hashes: list[Polynomial], chunk_bytes: int = CHUNK_
 
 def _features(moduli, chunk_bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        hashes, uid = [Polynomial(m, b, chunk_bytes) for m, b in moduli], (context.partitionId() if context else 0) << 36
+        hashes = [Polynomial(m, b, chunk_bytes) for m, b in moduli]
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for doc_id, text in zip(ids, batch.column(1), strict=True):
+            rows = []
+            for doc_id, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
                 data = normalized(text)
                 rows.append((doc_id, uid, len(text or ""), fingerprint(data, hashes, chunk_bytes), len(data), hashlib.sha256(data).hexdigest()))
-                uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), (pa.int64(),) * 5 + (pa.string(),), strict=True)] if rows else [pa.array([], type=t) for t in (pa.int64(),) * 5 + (pa.string(),)], names=_FEATURES.names)
 
     return run
@@ -137,16 +135,19 @@ def _bitmap(keys: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, moduli=MODULI, chunk_bytes: int = CHUNK_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per input row: doc_id, uid, n_points, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, row_col: str | None = None, moduli=MODULI, chunk_bytes: int = CHUNK_BYTES, filter_bits: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, uid (a number that tells rows apart: of `row_col`, or its own), n_points, keep_id,
+    group_size, kept, text_sha256.
 
-    The largest thing on the driver is the bit map of `filter_bits`. A group is pre-aggregated in each task
+    The largest thing on the driver is the bit map, of at most MOST_BITS. A group is pre-aggregated in each task
     before any shuffle; the join that carries its outcome to its rows is one that Spark splits when it is skewed.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("uid"), F.col(text_col).alias("text"))
     rows = cut_lineage(texts.mapInArrow(_features(moduli, chunk_bytes), _FEATURES))
     repeated = cut_lineage(rows.groupBy("fp", "size").agg(F.count("*").alias("n")).filter("n > 1"))
+    filter_bits = filter_bits or min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * repeated.count()).bit_length()))
     maybe = spark.sparkContext.broadcast(_bitmap(repeated, filter_bits))
     compared = texts.select("text").mapInArrow(_chunks(moduli, chunk_bytes, filter_bits, maybe), _CHUNKS).groupBy("fp", "size", "chunk_no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
     collided = cut_lineage(compared.filter(F.col("lo") != F.col("hi")).select("fp", "size").distinct())

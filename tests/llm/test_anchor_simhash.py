@@ -2,10 +2,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from pyspark.sql import functions as F
+
+import lodestone.llm.op_anchor_simhash as m
 from lodestone.llm.components import components
-from lodestone.llm.op_anchor_simhash import anchors, compare, cosets, simhash, simhash_components
+from lodestone.llm.op_anchor_simhash import anchors, compare, cosets, homes_of, simhash, simhash_components, split
 from tests.llm.conftest import ODD
 
 
@@ -97,9 +101,56 @@ def test_chain_of_components(spark):
 
 def test_rows(documents):
     rows = [*ODD, (20, "a b"), (0, "")]
-    got = simhash_components(documents(rows)).collect()
-    assert len(got) == len(rows)
+    got = simhash_components(documents(rows).withColumn("at", F.monotonically_increasing_id()), row_col="at").collect()
+    assert len(got) == len(rows) == len({r.row for r in got})
     by = {r.doc_id: r for r in got}
     assert by[1].component_id == by[3].component_id == 0 and by[20].component_id == 5
     assert all(r.fp & (1 << 64) - 1 == brute_hash(dict(rows)[r.doc_id]) for r in got)
     assert simhash_components(documents([])).collect() == []
+
+
+def test_all_rows_equal_brute_force(documents, monkeypatch):
+    r = random.Random(11)
+    rows = list(ODD)
+    for k in range(60):
+        words = [f"w{r.randrange(400)}" for _ in range(r.randrange(3, 120))]
+        for c in range(r.randrange(1, 6)):
+            rows.append((100 + 10 * k + c, " ".join(words)))
+            words[r.randrange(len(words))] = f"w{r.randrange(400)}"
+    fps = {brute_hash(t) for _, t in rows}
+    root = brute_components(list(fps))
+    least = {}
+    for i, t in rows:
+        k = root[brute_hash(t)]
+        least[k] = min(x for x in (least.get(k), i) if x is not None) if (least.get(k), i) != (None, None) else None
+    want = sorted((str(i), brute_hash(t), str(least[root[brute_hash(t)]])) for i, t in rows)
+    for homes in (m.PART_HOMES, 0.5):  # all anchors in parts, too
+        monkeypatch.setattr(m, "PART_HOMES", homes)
+        got = m.simhash_components(documents(rows)).collect()
+        assert sorted((str(x.doc_id), x.fp & (1 << 64) - 1, str(x.component_id)) for x in got) == want
+        assert len({x.root for x in got}) == len(set(root.values()))
+
+
+def test_a_crowded_anchor_in_parts_that_stream_by(monkeypatch):
+    r = np.random.default_rng(3)
+    fps = np.unique(np.int64(999) ^ (r.integers(0, 1 << 18, 1500) << np.int64(46)))  # all of one home
+    home = homes_of(fps)
+    assert len(set(home.tolist())) == 1
+    a, away, f = split(*anchors(fps, 2), {int(home[0]): 5})
+    assert sum(~away & (a & (1 << 46) - 1 == home[0])) == len(fps)  # each is at home in one part
+    order = np.lexsort((away, a))
+    monkeypatch.setattr(m, "ROWS_AT_ONCE", 700)
+    parts = [x[order] for x in (a, away, f)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 97]) for x in parts], names=["anchor", "away", "fp"]) for i in range(0, len(a), 97)]
+    links = [(x, y) for b in m._compared(2)(iter(batches)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    nodes, root = fps.tolist(), {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        root[find(x)] = find(y)
+    near = [(x, int(y)) for x in nodes for y in fps[(np.bitwise_count((fps ^ x).view(np.uint64)) <= 2) & (fps > x)]]
+    assert near and all(find(x) == find(y) for x, y in near) and len({find(x) for x in nodes}) > 1
