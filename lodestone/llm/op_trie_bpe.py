@@ -10,8 +10,8 @@ Two tokens may stand side by side if merging their bytes would leave the border
 undoing their merges, latest first, and looking for a pair across the border that would have merged earlier.
 
 Defined results: a null or empty text has no tokens, and digests of the empty string. Rows that repeat are each
-returned. An empty table gives an empty result. Columns other than the id and the text are ignored. Memory holds
-the words of a few megabytes of text and a bounded cache.
+returned. Very long texts are encoded whole, in one task. An empty table gives an empty result. Columns other than the
+id and the text are ignored. Memory holds the words of a few megabytes of text and a bounded cache.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from lodestone.session import spread, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker keeps encoded; the cache begins anew beyond it.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
 #: Characters of text whose new words are put into one trie.
 TRIE_CHARS = 4_000_000
 
@@ -103,8 +103,10 @@ class TrieEncoder:
         if len(adjacent) > 2_000_000:
             adjacent.clear()
         for word in sorted(words):
-            n, shared, most = len(word), 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
+            n, shared = len(word), 0
+            for x, y in zip(word, before):
+                if x != y:
+                    break
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, n + 1):
@@ -114,8 +116,8 @@ class TrieEncoder:
                     at = at.get(word[start])
                     if at is None:
                         raise AssertionError(f"no token ends at byte {end} of {word!r}")
-                    token = at.get(-1)
-                    if token is not None:
+                    if -1 in at:
+                        token = at[-1]
                         if not start:
                             break
                         key = state[start], token
@@ -127,17 +129,26 @@ class TrieEncoder:
                 state.append(token)
             back, at = [], n
             while at:
-                back.append(ids[state[at]])
-                at -= lengths[state[at]]
+                token = state[at]
+                back.append(ids[token])
+                at -= lengths[token]
             back.reverse()
             out[word], before = back, word
         return out
 
     def encode_pieces(self, distinct: Iterable[str]) -> dict[str, list[int]]:
         """Ids of pieces without special tokens."""
-        cut = {p: [w.encode() for w in self.words.findall(p)] for p in distinct}
-        done = self.encode_words({w for words in cut.values() for w in words})
-        return {p: done[words[0]] if len(words) == 1 else [i for w in words for i in done[w]] for p, words in cut.items()}
+        single, cut = {}, {}
+        for p in distinct:
+            if p.isalpha() or (p[0] == " " and p[1:].isalpha()):  # the pre-tokenizer takes letters after a blank as one word
+                single[p] = p.encode()
+            else:
+                cut[p] = [w.encode() for w in self.words.findall(p)]
+        done = self.encode_words({*single.values(), *(w for words in cut.values() for w in words)})
+        out = {p: done[w] for p, w in single.items()}
+        for p, words in cut.items():
+            out[p] = [i for w in words for i in done[w]]
+        return out
 
     def cut(self, text: str) -> list[str]:
         """The text's pieces; a special token is a piece of its own."""
@@ -162,25 +173,23 @@ def encoder(path: str) -> TrieEncoder:
 
 
 class _Cache:
-    """What the digests need of each piece: its token count, its ids as text, its bytes decoded."""
+    """What the digests need of each piece: its ids as text, each after a comma, and its bytes decoded."""
 
     def __init__(self, own: TrieEncoder):
-        self.own = own
+        self.own, self.id_text = own, {i: b",%d" % i for i in own.by_id}
         self.clear()
 
     def clear(self):
-        self.counts = dict.fromkeys(self.own.specials, 1)
-        self.texts = {s: b",%d" % i for s, i in self.own.specials.items()}
+        self.texts = {s: self.id_text[i] for s, i in self.own.specials.items()}
         self.decoded = {s: self.own.by_id[i] for s, i in self.own.specials.items()}
 
     def add(self, distinct: set[str]):
-        if len(self.counts) > CACHE_PIECES:
+        if len(self.texts) > CACHE_PIECES:
             self.clear()
-        by_id = self.own.by_id
-        for p, ids in self.own.encode_pieces(distinct - self.counts.keys()).items():
-            self.counts[p] = len(ids)
-            self.texts[p] = ("," + ",".join(map(str, ids))).encode()
-            self.decoded[p] = b"".join([by_id[i] for i in ids])
+        by_id, id_text = self.own.by_id.__getitem__, self.id_text.__getitem__
+        for p, ids in self.own.encode_pieces(distinct - self.texts.keys()).items():
+            self.texts[p] = b"".join(map(id_text, ids))
+            self.decoded[p] = b"".join(map(by_id, ids))
 
 
 _caches: dict[str, _Cache] = {}
@@ -196,8 +205,8 @@ def _digests(path: str):
             cache.add({p for _, parts in rows for p in parts})
             out = []
             for doc_id, parts in rows:
-                ids = hashlib.sha256(b"".join(map(cache.texts.__getitem__, parts))[1:]).hexdigest()
-                out.append((doc_id, sum(map(cache.counts.__getitem__, parts)), ids, hashlib.sha256(b"".join(map(cache.decoded.__getitem__, parts))).hexdigest()))
+                ids = b"".join(map(cache.texts.__getitem__, parts))
+                out.append((doc_id, ids.count(b","), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(b"".join(map(cache.decoded.__getitem__, parts))).hexdigest()))
             return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=_DIGESTS.names)
 
         for batch in batches:
