@@ -37,9 +37,8 @@ from lodestone.session import cut_lineage, spread, table
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of text that a worker keeps encoded, and the characters whose new pieces are encoded in one call.
+#: Pieces of text that a worker keeps encoded.
 CACHE_PIECES = 800_000
-CALL_CHARS = 4_000_000
 #: Steps of the least-squares fit, and the most patterns of three lengths it is given.
 FIT_STEPS = 3000
 TRIPLES = 60_000
@@ -49,8 +48,8 @@ LOOSE = 64
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-class PieceIds:
-    """Ids of texts as unsigned 32-bit numbers; a piece met again is not encoded again.
+class PieceIds(dict):
+    """Ids of pieces of text as unsigned 32-bit numbers; a piece met again is not encoded again.
 
     The ids are those of the tokenizers library. As each merge of such a vocabulary makes the token whose id is
     next, the ids are ranks too, and tiktoken's faster merging of a piece gives the same ids.
@@ -63,25 +62,21 @@ class PieceIds:
             raise ValueError(f"{path}: ids are not the ranks of merges")
         self.encode = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.specials, self.special_pattern = special_tokens(path), special_pattern(path)
-        self.clear()
 
-    def clear(self):
-        self.known = {s: np.array([i], dtype="<u4").tobytes() for s, i in self.specials.items()}
+    def __missing__(self, piece: str) -> bytes:
+        special = self.specials.get(piece)
+        out = self[piece] = array("I", self.encode(piece) if special is None else (special,)).tobytes()
+        return out
 
     def cut(self, text: str) -> list[str]:
         if self.special_pattern is None or not any(s in text for s in self.specials):
             return pieces(text)
         return [p for part in self.special_pattern.split(text) for p in ([part] if part in self.specials else pieces(part))]
 
-    def add(self, distinct: set[str]):
-        if len(self.known) > CACHE_PIECES:
+    def ids(self, text: str) -> bytes:
+        if len(self) > CACHE_PIECES:
             self.clear()
-        encode, known = self.encode, self.known
-        for p in distinct - known.keys():
-            known[p] = array("I", encode(p)).tobytes()
-
-    def ids(self, parts: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, parts))
+        return b"".join(map(self.__getitem__, self.cut(text)))
 
 
 @lru_cache(maxsize=2)
@@ -99,26 +94,14 @@ def _token_pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = piece_ids(path), np.array([end_id], dtype="<u4").tobytes()
 
-        def done(rows: list[tuple[int, list[str]]]) -> pa.RecordBatch:
-            own.add({p for _, parts in rows for p in parts})
+        for batch in batches:
             out = []
-            for doc_id, parts in rows:
-                ids = memoryview(own.ids(parts) + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = memoryview(own.ids(text.as_py() or "") + end)
                 for k, (start, length) in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     out.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECES.names)
-
-        for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                rows.append((doc_id, own.cut(text)))
-                held += len(text)
-                if held > CALL_CHARS:
-                    yield done(rows)
-                    rows, held = [], 0
-            if rows:
-                yield done(rows)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECES.names)
 
     return run
 
