@@ -180,7 +180,7 @@ WITH c AS (
     UNION ALL
     SELECT conv_id % 20, 1, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) - 1, 'https://h/' || (conv_id + turn) % 53 FROM conversations
 ),
-d AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(locator, '/+$', '') ORDER BY idx, group_no) AS k FROM c WHERE idx < 12),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(locator, '/+$', '') ORDER BY idx, group_no) AS k FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx, group_no) AS rank FROM d WHERE k = 1)
 SELECT query_id, group_no, idx, locator, rank, idx + 1 AS provider_rank FROM r WHERE rank <= 12
 """
@@ -357,12 +357,13 @@ def page_transition(spark, sf_dir):
 
 
 @_register("""
-SELECT event_id, greatest(0.0, coalesce(60.0 - (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) / 1e6, 0.0))::DOUBLE AS wait FROM events
+WITH n AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events)
+SELECT event_id, (max(us - i * 3600000000) OVER (PARTITION BY user_id ORDER BY i) + i * 3600000000 - us) / 1e6::DOUBLE AS wait FROM n
 """)
 def host_pacing(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    paced = crawl.pacing(e.withColumn("at", F.col("us")), 60e6).select("event_id", (F.col("wait") / 1e6).alias("wait"))
-    return paced
+    """Waits in seconds of each user's requests, an hour apart."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return crawl.pacing(e, 3600e6).select("event_id", (F.col("wait") / 1e6).alias("wait"))
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

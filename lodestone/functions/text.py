@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +14,21 @@ TRUNCATED = " [truncated]"
 SNIPPET_TRUNCATED = "\n[truncated]"
 
 
+@lru_cache(maxsize=1)
+def _folded() -> tuple[str, str, list[tuple[str, str]]]:
+    """Lower-case characters that folding changes: one to one (from, to), and one to several."""
+    changed = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if c.lower() == c != c.casefold()]
+    single = [(c, f) for c, f in changed if len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single), [(c, f) for c, f in changed if len(f) > 1]
+
+
 def fold(x: Column) -> Column:
-    """Case folding of text: lower case, and sharp s as ss."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, final sigma and its like as the plain letter, sharp s and ligatures as letters."""
+    source, target, several = _folded()
+    low = F.lower(x)
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
+    full = F.aggregate(pairs, F.translate(low, source, target), lambda out, p: F.replace(out, p["c"], p["f"]))
+    return F.when(low.rlike("[" + source + "".join(c for c, _ in several) + "]"), full).otherwise(low)
 
 
 def strip(x: Column) -> Column:

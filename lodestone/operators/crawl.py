@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.urls import normalize, same_origin
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, numbered
 
 MOST_ATTEMPTS = 2
 DONE = ("complete", "failed", "blocked")
@@ -48,9 +48,13 @@ def recover(pages: DataFrame) -> DataFrame:
 
 
 def pacing(requests: DataFrame, min_interval: float = 1.0, *, host: str = "host", at: str = "at") -> DataFrame:
-    """Seconds to wait before each request of a host: what its interval since the one before lacks. `at`: seconds."""
-    gap = F.col(at) - F.lag(at).over(Window.partitionBy(host).orderBy(at, *[c for c in requests.columns if c not in (host, at)]))
-    return requests.withColumn("wait", F.greatest(F.lit(0.0), F.coalesce(F.lit(float(min_interval)) - gap, F.lit(0.0))))
+    """How long each request of a host waits, so that the one before went out an interval earlier. `at`, and the wait, in
+    the interval's unit. A request goes out at s(i) = max(at(i), s(i-1) + d), which is i * d + max over k <= i of at(k) - k * d."""
+    order = Window.partitionBy(host).orderBy(at, *[c for c in requests.columns if c not in (host, at)])
+    shift = F.row_number().over(order) * F.lit(float(min_interval))
+    rows = requests.withColumn("_shift", shift).withColumn("_free", F.col(at) - F.col("_shift"))
+    latest = F.max("_free").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("wait", F.greatest(F.lit(0.0), (latest - F.col("_free")).cast("double"))).drop("_shift", "_free")
 
 
 def crawl(root: str, links: DataFrame, results: DataFrame, *, max_pages: int = 20, max_depth: int = 1) -> DataFrame:
@@ -85,6 +89,7 @@ def crawl(root: str, links: DataFrame, results: DataFrame, *, max_pages: int = 2
         last = state.agg(F.max("added_seq")).first()[0] or 0
         found = state.filter((F.col("status") == "complete") & (F.col("depth") == depth)).select(F.col("url").alias("source"), "added_seq").join(edges, "source")
         first = found.groupBy("target").agg(F.min(F.struct("added_seq", "pos", "source")).alias("by")).join(state.select(F.col("url").alias("target")), "target", "left_anti")
-        new = first.select(F.col("target").alias("url"), F.lit(depth + 1).alias("depth"), F.lit("pending").alias("status"), F.col("by.source").alias("discovered_from"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_code"), (F.lit(last) + F.row_number().over(Window.orderBy("by.added_seq", "by.pos", "target"))).cast("long").alias("added_seq"))
+        first = numbered(first, ["by.added_seq", "by.pos", "target"], "place")
+        new = first.select(F.col("target").alias("url"), F.lit(depth + 1).alias("depth"), F.lit("pending").alias("status"), F.col("by.source").alias("discovered_from"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_code"), (F.lit(last) + F.col("place")).alias("added_seq"))
         state = cut_lineage(state.unionByName(new))
     return state

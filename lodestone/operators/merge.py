@@ -19,10 +19,10 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 def round_robin(candidates: DataFrame, limit: int, *, query: str = "query_id", group: str = "group_no", index: str = "idx", locator: str = "locator") -> DataFrame:
     """Merge ordered lists: the first candidates of all groups, then the second ones, and so on.
 
-    Of candidates with one canonical locator the first in that order stays; lists are not refilled. Adds `rank`
+    Of candidates with one canonical locator the first in that order stays; later ones of a list move up. Adds `rank`
     from 1 to `limit`. The first window deals rows out by locator, so one query's long lists are not in one task before they are cut.
     """
-    rows = candidates.filter(F.col(index) < limit).withColumn("_key", canonical(F.col(locator)))
+    rows = candidates.withColumn("_key", canonical(F.col(locator)))
     rows = first_of_each(rows, [query, "_key"], [index, group])
     order = Window.partitionBy(query).orderBy(index, group)
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).drop("_key")

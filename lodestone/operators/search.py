@@ -1,24 +1,28 @@
 """Search of a corpus for a table of queries: exact lines first, relaxed ones where there are none.
 
-All work on a file stays in its row: lines are matched, capped and scored by array expressions, so texts are never
-shuffled. Only each query's ranked candidates are. The queries are a stated set, broadcast in blocks of bounded size.
+Queries are a table throughout. Their distinct terms are found in the texts by one pass: a text's words are cut into
+pairs and triples of characters, which meet the terms that begin with them by an equi-join; what is stored of a text is
+the lines that hold each term. Queries meet files by the terms that they share, so no text is tried for a query that
+has none of its terms; scores of relaxed lines follow from the stored lines alone. Texts are read again only for the
+pairs in which one line may hold the whole query, and for the ranked results; they are never shuffled for small sets.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import query as Q
 from lodestone.functions.text import compact, fold, lines, strip
+from lodestone.session import cut_lineage
 
 LINES_PER_FILE = 8
 MOST_BYTES = 1_000_000
 SNIPPET = 500
-#: Queries that are broadcast at once.
-BLOCK = 500
+#: Rows of a counted table that may be broadcast.
+FEW = 50_000
+#: A run of characters in which a term lies whole, wherever it occurs: those of tokens, and marks that folding may add.
+RUN = r"[\p{L}\p{N}\p{M}_@.-]+"
 
 
 def workspace(docs: DataFrame) -> DataFrame:
@@ -38,10 +42,6 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _any(folded: Column, terms: Column) -> Column:
-    return F.exists(terms, lambda t: F.contains(folded, t["term"]))
-
-
 def _weights(terms: Column, folded: Column) -> Column:
     """Sum of the weights of the terms that the folded text holds."""
     return F.aggregate(terms, F.lit(0.0), lambda out, t: out + F.when(F.contains(folded, t["term"]), t["weight"]).otherwise(0.0))
@@ -71,42 +71,141 @@ def scored(hits: Column, folded_path: Column) -> Column:
     return _bind(F.struct(F.array_min(weighed).alias("best"), F.array_join(F.transform(hits, lambda h: h["folded"]), " ").alias("combined")), score)
 
 
+def _grams(word: Column) -> Column:
+    """Distinct pairs and triples of neighbouring characters."""
+
+    def of(chars: Column) -> Column:
+        pair = lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1))
+        n = F.size(chars)
+        two = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), pair)).otherwise(F.array().cast("array<string>"))
+        three = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat(pair(i), F.get(chars, i + 2)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(two, three))
+
+    return _bind(F.split(word, ""), of)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A materialized table, to be broadcast if it is small by count."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def postings(files: DataFrame, terms: DataFrame) -> DataFrame:
+    """path, term, lines: the lines (from 1; 0 is the path itself) that hold each term. files: path, lines (texts of
+    lines); terms: term, of two characters or more, without white space."""
+    keyed = terms.select("term", F.left("term", F.lit(3)).alias("gram")).distinct()
+    each = files.select("path", F.posexplode(F.concat(F.array("name"), "lines")).alias("line_no", "line"))
+    words = each.select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(RUN), F.lit(0)))).alias("word"))
+    found = words.select("path", "line_no", "word", F.explode(_grams(F.col("word"))).alias("gram")).join(keyed, "gram").filter(F.contains("word", F.col("term")))
+    return found.groupBy("path", "term").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+
+
+def _paired(post: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, path and what follows from the lines of the terms that they share, for relaxed lines; and whether one
+    line has all terms. asked: query_id, n, place, token, term, weight, seek (whether lines with it alone are kept)."""
+    pairs = post.join(asked, "term").groupBy("query_id", "path").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "token", "weight", "seek", "lines"))).alias("t"))
+    inside = F.filter(F.flatten(F.transform(F.filter("t", lambda x: x["seek"]), lambda x: x["lines"])), lambda k: k > 0)
+    pairs = pairs.withColumn("kept", F.slice(F.array_sort(F.array_distinct(inside)), 1, LINES_PER_FILE))
+    # tokens whose terms are equal, and terms sought as they are written, may be there twice; a place counts once
+    held = F.filter("t", lambda x: ~F.startswith(x["token"], F.lit("\x00")))
+    pairs = pairs.withColumn("t", held)
+
+    def weight(k: Column) -> Column:
+        return F.aggregate("t", F.lit(0.0), lambda out, x: out + F.when(F.array_contains(x["lines"], k), x["weight"]).otherwise(0.0))
+
+    best = F.array_min(F.transform("kept", lambda k: F.struct((-weight(k)).alias("w"), k.alias("line_no"))))
+    found = F.filter("t", lambda x: F.arrays_overlap(x["lines"], F.col("kept")))
+    pairs = pairs.withColumn("best", best).withColumn("found", found)
+    total = F.aggregate("found", F.lit(0.0), lambda out, x: out + x["weight"]) * 10 - F.col("best.w") * 2 + F.size(F.filter("t", lambda x: F.array_contains(x["lines"], 0))) * 3
+    common = F.aggregate(F.slice("t", 2, Q.MOST_TOKENS), F.get("t", 0)["lines"], lambda out, x: F.array_intersect(out, x["lines"]))
+    return pairs.select(
+        "query_id",
+        "path",
+        "kept",
+        total.alias("total"),
+        F.col("best.line_no").cast("long").alias("line_no"),
+        F.round(-F.col("best.w"), 2).alias("best_line_weight"),
+        F.array_join(F.transform("found", lambda x: x["token"]), " ").alias("matched_terms"),
+        F.round(F.size("found") / F.col("n"), 3).alias("term_coverage"),
+        F.size("kept").cast("long").alias("matched_line_count"),
+        ((F.size("kept") > 0) & (F.col("n") >= 2)).alias("loose"),
+        (F.size("found") == F.col("n")).alias("all_kept"),
+        ((F.size("t") == F.col("n")) & F.exists(common, lambda k: k > 0)).alias("one_line"),
+    )
+
+
+_RANKED = ("query_id", "query", "tokens", "path", "relevance_score", "line_no", "best_line_weight", "matched_terms", "term_coverage", "matched_line_count")
+
+
+def _top(rows: DataFrame, limit: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "path")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
+
+
 def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: str = "fold", relaxed: bool | None = None) -> DataFrame:
     """Ranked candidates of each query: query_id, rank, path, line_no, locator, snippet, score columns, variant.
 
-    files: path, text; queries: query_id, query. `relaxed`: only the exact variant (False), only the relaxed one
-    (True), or relaxed for the queries without exact matches. Files over 1 MB are skipped. Texts are folded and cut
-    into lines once, before they meet the queries. case_mode `smart`: an exact query with an upper-case letter must
-    match as it is written, and relaxed lines need one of the first six tokens.
+    files: path (each once), text; queries: query_id (each once), query. `relaxed`: only the exact variant (False), only
+    the relaxed one (True), or relaxed for the queries without exact matches. Files over 1 MB are skipped. Queries
+    without a token meet every file, and have no relaxed lines. case_mode `smart`: an exact query, or the pattern of
+    the first six tokens that relaxed lines must match, is taken as it is written if it has an upper-case letter.
     """
     if case_mode not in ("fold", "smart"):
         raise ValueError("case_mode is fold or smart")
-    plans = planned(queries).collect()  # a stated set, given by the caller
-    spark, schema = files.sparkSession, planned(queries).schema
-    blocks = [F.broadcast(spark.createDataFrame(plans[i : i + BLOCK], schema)) for i in range(0, max(len(plans), 1), BLOCK)]
-    each = F.transform(lines(F.col("text")), lambda v, k: F.struct((k + 1).cast("long").alias("line_no"), strip(v).alias("snippet"), fold(strip(v)).alias("folded"), v.alias("line"), fold(v).alias("line_folded")))
-    files = files.filter(F.octet_length("text") <= MOST_BYTES).select("path", fold(F.col("path")).alias("path_folded"), "text", fold(F.col("text")).alias("text_folded"), each.alias("lines"))
-    width = F.size("tokens") >= 2
-    terms = F.col("terms") if case_mode == "fold" else F.slice("terms", 1, Q.PATTERN_TOKENS)
-
-    def holds(plain: Column, folded: Column) -> Column:
-        inside = F.contains(folded, F.col("folded"))
-        return inside if case_mode == "fold" else F.when(F.col("query") == F.lower("query"), inside).otherwise(F.contains(plain, F.col("query")))
-
-    parts = []
-    for block in blocks:
-        may = (F.lit(relaxed is not True) & holds(F.col("text"), F.col("text_folded"))) | (F.lit(relaxed is not False) & width & _any(F.col("text_folded"), terms))
-        exact = F.slice(F.filter("lines", lambda v: holds(v["line"], v["line_folded"])), 1, LINES_PER_FILE)
-        loose = F.when(width, F.slice(F.filter("lines", lambda v: _any(v["line_folded"], terms)), 1, LINES_PER_FILE))
-        variants = [F.struct(F.lit(False).alias("relaxed"), exact.alias("hits"))] * (relaxed is not True) + [F.struct(F.lit(True).alias("relaxed"), loose.alias("hits"))] * (relaxed is not False)
-        parts.append(files.join(block, may).select("query_id", "query", "path", "path_folded", "tokens", "terms", "folded", F.explode(F.array(*variants)).alias("v")))
-    rows = reduce(DataFrame.unionAll, parts).filter(F.size("v.hits") > 0)
-    rows = rows.select("query_id", "query", "path", "tokens", F.col("v.relaxed").alias("relaxed"), scored(F.col("v.hits"), F.col("path_folded")).alias("s"))
-    rows = rows.select("query_id", "query", "path", "tokens", "relaxed", "s.*")
-    top = Window.partitionBy("query_id", "relaxed").orderBy(F.desc("relevance_score"), "path")
-    rows = rows.withColumn("rank", F.row_number().over(top).cast("long")).filter(F.col("rank") <= limit)
-    first = F.min("relaxed").over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("_first", first).filter("relaxed = _first")
+    smart = case_mode == "smart"
+    plans = cut_lineage(planned(queries))
+    files = files.filter((F.octet_length("text") <= MOST_BYTES) & F.col("path").isNotNull())
+    plain = lines(F.col("text"))
+    tokens = plans.select("query_id", F.size("tokens").alias("n"), F.posexplode(F.arrays_zip("tokens", F.col("terms"))).alias("place", "z"))
+    own = F.lit(True)
+    if smart:
+        pattern = F.array_join(F.slice("tokens", 1, Q.PATTERN_TOKENS), "|")
+        tokens = tokens.join(plans.select("query_id", (pattern != F.lower(pattern)).alias("strict")), "query_id")
+        own = (F.col("place") < Q.PATTERN_TOKENS) & ~F.col("strict")
+    asked = tokens.select("query_id", "n", "place", F.col("z.tokens").alias("token"), F.col("z.terms.term").alias("term"), F.col("z.terms.weight").alias("weight"), own.alias("seek"))
+    folded_files = files.select("path", fold(F.col("path")).alias("name"), F.transform(plain, fold).alias("lines"))
+    post = postings(folded_files, asked.select("term"))
+    if smart:  # lines are kept for tokens as they are written, which are marked so as not to count as terms
+        strict = tokens.filter(F.col("strict") & (F.col("place") < Q.PATTERN_TOKENS)).select("query_id", "n", "place", F.col("z.tokens").alias("written"))
+        mark = lambda c: F.concat(F.lit("\x00"), c)
+        asked = asked.unionByName(strict.select("query_id", "n", "place", mark(F.col("written")).alias("token"), mark(F.col("written")).alias("term"), F.lit(0.0).alias("weight"), F.lit(True).alias("seek")))
+        as_written = postings(files.select("path", F.lit("").alias("name"), plain.alias("lines")), strict.select(F.col("written").alias("term")))
+        post = post.unionByName(as_written.select("path", mark(F.col("term")).alias("term"), "lines"))
+    pairs = _paired(cut_lineage(post.repartition("path")), asked)
+    folded = F.transform(plain, lambda v, k: F.struct((k + 1).cast("long").alias("line_no"), strip(v).alias("snippet"), fold(strip(v)).alias("folded"), v.alias("line")))
+    texts = files.select("path", fold(F.col("path")).alias("path_folded"), folded.alias("lines"))
+
+    def holds(v: Column) -> Column:
+        inside = F.contains(fold(v["line"]), F.col("folded"))
+        return F.when(F.col("query") == F.lower("query"), inside).otherwise(F.contains(v["line"], F.col("query"))) if smart else inside
+
+    exact = None
+    if relaxed is not True:
+        near = pairs.filter("one_line").select("query_id", "path")
+        bare = plans.filter(F.size("tokens") == 0).select("query_id")
+        if not bare.isEmpty():
+            near = near.unionByName(bare.withColumn("all", F.lit(1)).join(files.select("path", F.lit(1).alias("all")), "all").select("query_id", "path"))
+        near = texts.join(_few(cut_lineage(near)), "path").join(plans, "query_id")
+        hits = near.withColumn("hits", F.slice(F.filter("lines", holds), 1, LINES_PER_FILE)).filter(F.size("hits") > 0)
+        hits = hits.select("query_id", "query", "tokens", "path", scored(F.col("hits"), F.col("path_folded")).alias("s")).select("query_id", "query", "tokens", "path", "s.*")
+        exact = cut_lineage(_top(hits, limit).withColumn("relaxed", F.lit(False)))
+    loose = None
+    if relaxed is not False:
+        pairs = pairs.filter("loose")
+        if exact is not None:
+            pairs = pairs.join(_few(exact.select("query_id").distinct()), "query_id", "left_anti")
+        # a line break may part the words of a query, which then stands in the kept lines as they are joined
+        whole = texts.join(_few(cut_lineage(pairs.filter("all_kept"))), "path").join(plans.select("query_id", "folded"), "query_id")
+        joined = F.array_join(F.transform(F.filter("lines", lambda v: F.array_contains(F.col("kept").cast("array<bigint>"), v["line_no"])), lambda v: v["folded"]), " ")
+        whole = whole.withColumn("total", F.col("total") + F.when(F.contains(joined, F.col("folded")), 100).otherwise(0))
+        names = [c for c in _RANKED if c not in ("query", "tokens", "relevance_score")]
+        score = F.round("total", 2).alias("relevance_score")
+        ranked = _top(pairs.filter("not all_kept").select(*names, score), limit).drop("rank").unionByName(whole.select(*names, score))
+        top = _few(cut_lineage(_top(ranked, limit)))
+        line = F.get(F.col("lines"), (F.col("line_no") - 1).cast("int"))["snippet"]
+        loose = texts.join(top, "path").withColumn("snippet", line).join(plans.select("query_id", "query", "tokens"), "query_id").withColumn("relaxed", F.lit(True))
+    columns = [*_RANKED, "snippet", "rank", "relaxed"]
+    parts = [x.select(*columns) for x in (exact, loose) if x is not None]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return rows.select(
         "query_id",
         "rank",

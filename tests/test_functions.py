@@ -12,6 +12,11 @@ def one(spark, column, value):
 
 
 
+def test_folding_is_that_of_python(spark):
+    for x in ("οδος ΟΔΟΣ ﬁ ſ Straße ẞ", "ŉ ǰ ΐ ᾳ ſt ﬗ", "plain ASCII", "Ꭰꭰ ᏸ", "İI", ""):
+        assert one(spark, lambda X: text.fold(X), x) == x.casefold()
+
+
 def test_text(spark):
     assert one(spark, lambda X: text.collapse(X), " a \t b\n") == "a b"
     assert one(spark, lambda X: text.compact(X, 20), "word " * 10) == "word wor [truncated]"

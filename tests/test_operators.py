@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -22,6 +23,53 @@ def test_search_exact_then_relaxed(spark):
     assert got[1].matched_terms == "gamma alpha" and got[1].term_coverage == 0.667 and got[1].query_variant == "gamma|alpha|zeta"
     smart = search.search(files, spark.createDataFrame([(1, "Beta gamma")], "query_id long, query string"), 5, case_mode="smart", relaxed=False).collect()
     assert [r.locator for r in smart] == ["a/x.txt:1"]
+    loose = lambda q: sorted(r.path for r in search.search(files, spark.createDataFrame([(1, q)], "query_id long, query string"), 5, case_mode="smart").collect())
+    assert loose("Alpha Zeta") == ["a/x.txt", "b.txt"] and loose("alpha zeta") == ["a/x.txt", "b.txt"] and loose("ALPHA zeta") == []
+
+
+def loop_search(files, queries, limit):
+    """The plain loop over pairs."""
+    from lodestone.functions.query import LOW_SIGNAL, STOPWORDS
+
+    out = []
+    for qid, raw in queries:
+        q = " ".join(raw.split())
+        found = [t for t in re.findall(r"[\w@.-]+", q) if len(t) > 1 and t.casefold() not in STOPWORDS]
+        tokens = list(dict.fromkeys(found))[:12]
+        weigh = lambda text: sum(0.25 if t.casefold() in LOW_SIGNAL else 1.0 for t in tokens if t.casefold() in text)
+        for variant in (False, True):
+            rows = []
+            for path, text in files:
+                every = [(k, x.strip()) for k, x in enumerate(text.splitlines(), 1)]
+                if variant:
+                    hits = [h for h in every if len(tokens) > 1 and any(t.casefold() in h[1].casefold() for t in tokens)][:8]
+                else:
+                    hits = [h for h in every if q and q.casefold() in h[1].casefold()][:8]
+                if hits:
+                    joined = " ".join(x.casefold() for _, x in hits)
+                    best = min((-weigh(x.casefold()), k) for k, x in hits)
+                    mine = [t for t in tokens if t.casefold() in joined]
+                    total = weigh(joined) * 10 - best[0] * 2 + 3 * sum(t.casefold() in path.casefold() for t in tokens) + 100 * (q.casefold() in joined)
+                    rows.append((-round(total, 2), path, best[1], " ".join(mine), len(hits), variant))
+            if rows:
+                out += [(qid, k, path, line, -s, terms, n, v) for k, (s, path, line, terms, n, v) in enumerate(sorted(rows)[:limit], 1)]
+                break
+    return sorted(out)
+
+
+def test_search_is_the_loop_over_pairs(spark):
+    r = random.Random(12)
+    words = "ab abc bcd Straße STRASSE ΟΔΟΣ οδος ﬁn code search xx.y a-b 漢字 漢字仮名 ! -- É".split()
+    files = [(f"{r.choice(words)}/{i}.txt", "\n".join(" ".join(r.choice(words) for _ in range(r.randrange(6))) for _ in range(r.randrange(14)))) for i in range(40)]
+    queries = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 5)))) for i in range(60)] + [(90, "!"), (91, ""), (92, "--  !"), (93, "ab " * 20)]
+    got = search.search(spark.createDataFrame(files, "path string, text string"), spark.createDataFrame(queries, "query_id long, query string"), 4).collect()
+    assert sorted((x.query_id, x["rank"], x.path, x.line_no, x.relevance_score, x.matched_terms, x.matched_line_count, x.query_relaxed) for x in got) == loop_search(files, queries, 4)
+
+
+def test_search_plan_has_no_nested_loop(spark):
+    files = spark.createDataFrame([("a", "x yy zz")], "path string, text string")
+    plan = search.search(files, spark.createDataFrame([(1, "yy zz")], "query_id long, query string"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_search_counts_eight_lines_of_a_file(spark):
@@ -34,7 +82,7 @@ def loop_merge(groups, limit):
     seen, out = set(), []
     for i in range(max(map(len, groups), default=0)):
         for g, group in enumerate(groups):
-            if i < min(len(group), limit) and len(out) < limit and group[i].rstrip("/") not in seen:
+            if i < len(group) and len(out) < limit and group[i].rstrip("/") not in seen:
                 seen.add(group[i].rstrip("/"))
                 out.append((g, i))
     return out
@@ -149,6 +197,8 @@ def test_deep_and_wide_crawl_is_the_queue(spark, budget):
 
 def test_pacing_and_recovery(spark):
     df = spark.createDataFrame([("h", 0.0), ("h", 0.25), ("h", 5.0), ("g", 0.1)], "host string, at double")
+    burst = spark.createDataFrame([("h", 0.0, i) for i in range(4)] + [("h", 3.5, 4), ("h", 9.0, 5)], "host string, at double, n int")
+    assert sorted((r.n, r.wait) for r in crawl.pacing(burst).collect()) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0), (4, 0.5), (5, 0.0)]
     assert sorted((r.host, r.at, r.wait) for r in crawl.pacing(df).collect()) == [("g", 0.1, 0.0), ("h", 0.0, 0.0), ("h", 0.25, 0.75), ("h", 5.0, 0.0)]
     assert crawl.recover(spark.createDataFrame([("running",), ("failed",)], "status string")).collect()[0].status == "pending"
 
