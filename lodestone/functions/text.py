@@ -22,13 +22,25 @@ def _folded() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(c for c, _ in single), "".join(f for _, f in single), [(c, f) for c, f in changed if len(f) > 1]
 
 
+def _ranges(chars: str) -> str:
+    """A Java class of the characters, neighbours as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
+
 def fold(x: Column) -> Column:
     """Full case folding: lower case, final sigma and its like as the plain letter, sharp s and ligatures as letters."""
     source, target, several = _folded()
-    low = F.lower(x)
+    low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))  # the one that is frequent
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
     full = F.aggregate(pairs, F.translate(low, source, target), lambda out, p: F.replace(out, p["c"], p["f"]))
-    return F.when(low.rlike("[" + source + "".join(c for c, _ in several) + "]"), full).otherwise(low)
+    # texts of ASCII and Latin letters end at the first test, which is two ranges
+    return F.when(low.rlike(r"[^\x00-\xB4\xB6-\u0148]") & low.rlike(_ranges(source + "".join(c for c, _ in several))), full).otherwise(low)
 
 
 def strip(x: Column) -> Column:

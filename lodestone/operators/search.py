@@ -1,8 +1,8 @@
 """Search of a corpus for a table of queries: exact lines first, relaxed ones where there are none.
 
-Queries are a table throughout. Their distinct terms are found in the texts by one pass: a text's words are cut into
-pairs and triples of characters, which meet the terms that begin with them by an equi-join; what is stored of a text is
-the lines that hold each term. Queries meet files by the terms that they share, so no text is tried for a query that
+Queries are a table throughout. Their distinct terms are sought in the vocabulary of the texts: its words are cut into
+pairs and triples of characters, which meet the terms that begin with them by an equi-join; the words that hold a term
+then meet the texts, of which the lines that hold each term are stored. Queries meet files by the terms that they share, so no text is tried for a query that
 has none of its terms; scores of relaxed lines follow from the stored lines alone. Texts are read again only for the
 pairs in which one line may hold the whole query, and for the ranked results; they are never shuffled for small sets.
 """
@@ -21,8 +21,8 @@ MOST_BYTES = 1_000_000
 SNIPPET = 500
 #: Rows of a counted table that may be broadcast.
 FEW = 50_000
-#: A run of characters in which a term lies whole, wherever it occurs: those of tokens, and marks that folding may add.
-RUN = r"[\p{L}\p{N}\p{M}_@.-]+"
+#: Terms so few that every line is scanned for each of them.
+SCANNED = 24
 
 
 def workspace(docs: DataFrame) -> DataFrame:
@@ -92,16 +92,23 @@ def _few(rows: DataFrame) -> DataFrame:
 def postings(files: DataFrame, terms: DataFrame) -> DataFrame:
     """path, term, lines: the lines (from 1; 0 is the path itself) that hold each term. files: path, lines (texts of
     lines); terms: term, of two characters or more, without white space."""
-    keyed = terms.select("term", F.left("term", F.lit(3)).alias("gram")).distinct()
-    each = files.select("path", F.posexplode(F.concat(F.array("name"), "lines")).alias("line_no", "line"))
-    words = each.select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(RUN), F.lit(0)))).alias("word"))
-    found = words.select("path", "line_no", "word", F.explode(_grams(F.col("word"))).alias("gram")).join(keyed, "gram").filter(F.contains("word", F.col("term")))
-    return found.groupBy("path", "term").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    keyed = cut_lineage(terms.select("term", F.left("term", F.lit(3)).alias("gram")).distinct())
+    every = F.concat(F.array("name"), "lines")
+    if keyed.count() <= SCANNED:  # so few that each is sought in each line
+        sought = F.array(*[F.lit(r["term"]) for r in keyed.select("term").collect()]).cast("array<string>")
+        at = F.transform(every, lambda v, k: F.struct(k.alias("k"), v.alias("v")))
+        numbers = lambda t: F.transform(F.filter(at, lambda x: F.contains(x["v"], t)), lambda x: x["k"])
+        return files.select("path", F.explode(F.transform(sought, lambda t: F.struct(t.alias("term"), numbers(t).alias("lines")))).alias("p")).select("path", "p.term", "p.lines").filter(F.size("lines") > 0)
+    each = files.select("path", F.posexplode(every).alias("line_no", "line"))
+    words = each.select("path", "line_no", F.explode(F.array_distinct(F.split("line", " "))).alias("word")).filter(F.length("word") > 1)
+    grams = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    holding = _few(cut_lineage(grams.join(_few(keyed), "gram").filter(F.contains("word", F.col("term"))).select("word", "term")))
+    found = words.join(holding, "word").select("path", "term", "line_no").repartition("path").distinct()  # one shuffle for both
+    return found.groupBy("path", "term").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
 
 
 def _paired(post: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, path and what follows from the lines of the terms that they share, for relaxed lines; and whether one
-    line has all terms. asked: query_id, n, place, token, term, weight, seek (whether lines with it alone are kept)."""
+    """query_id, path and what follows from the lines of the terms that they share, for relaxed lines. asked: query_id, n, place, token, term, weight, seek (whether lines with it alone are kept)."""
     pairs = post.join(asked, "term").groupBy("query_id", "path").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "token", "weight", "seek", "lines"))).alias("t"))
     inside = F.filter(F.flatten(F.transform(F.filter("t", lambda x: x["seek"]), lambda x: x["lines"])), lambda k: k > 0)
     pairs = pairs.withColumn("kept", F.slice(F.array_sort(F.array_distinct(inside)), 1, LINES_PER_FILE))
@@ -116,7 +123,6 @@ def _paired(post: DataFrame, asked: DataFrame) -> DataFrame:
     found = F.filter("t", lambda x: F.arrays_overlap(x["lines"], F.col("kept")))
     pairs = pairs.withColumn("best", best).withColumn("found", found)
     total = F.aggregate("found", F.lit(0.0), lambda out, x: out + x["weight"]) * 10 - F.col("best.w") * 2 + F.size(F.filter("t", lambda x: F.array_contains(x["lines"], 0))) * 3
-    common = F.aggregate(F.slice("t", 2, Q.MOST_TOKENS), F.get("t", 0)["lines"], lambda out, x: F.array_intersect(out, x["lines"]))
     return pairs.select(
         "query_id",
         "path",
@@ -129,7 +135,6 @@ def _paired(post: DataFrame, asked: DataFrame) -> DataFrame:
         F.size("kept").cast("long").alias("matched_line_count"),
         ((F.size("kept") > 0) & (F.col("n") >= 2)).alias("loose"),
         (F.size("found") == F.col("n")).alias("all_kept"),
-        ((F.size("t") == F.col("n")) & F.exists(common, lambda k: k > 0)).alias("one_line"),
     )
 
 
@@ -170,9 +175,12 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
         asked = asked.unionByName(strict.select("query_id", "n", "place", mark(F.col("written")).alias("token"), mark(F.col("written")).alias("term"), F.lit(0.0).alias("weight"), F.lit(True).alias("seek")))
         as_written = postings(files.select("path", F.lit("").alias("name"), plain.alias("lines")), strict.select(F.col("written").alias("term")))
         post = post.unionByName(as_written.select("path", mark(F.col("term")).alias("term"), "lines"))
-    pairs = _paired(cut_lineage(post.repartition("path")), asked)
-    folded = F.transform(plain, lambda v, k: F.struct((k + 1).cast("long").alias("line_no"), strip(v).alias("snippet"), fold(strip(v)).alias("folded"), v.alias("line")))
-    texts = files.select("path", fold(F.col("path")).alias("path_folded"), folded.alias("lines"))
+    post = cut_lineage(post)
+
+    def read(rows: DataFrame) -> DataFrame:
+        """The rows with their files' lines, and the folded path; only these files' texts are cut and folded."""
+        each = F.transform(plain, lambda v, k: F.struct((k + 1).cast("long").alias("line_no"), strip(v).alias("snippet"), fold(strip(v)).alias("folded"), v.alias("line")))
+        return files.join(rows, "path").withColumn("path_folded", fold(F.col("path"))).withColumn("lines", each).drop("text")
 
     def holds(v: Column) -> Column:
         inside = F.contains(fold(v["line"]), F.col("folded"))
@@ -180,29 +188,30 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
 
     exact = None
     if relaxed is not True:
-        near = pairs.filter("one_line").select("query_id", "path")
+        every = post.select("path", "term").join(_few(cut_lineage(tokens.select("query_id", "n", F.col("z.terms.term").alias("term")))), "term")
+        near = every.groupBy("query_id", "path").agg(F.count("*").alias("found"), F.first("n").alias("n")).filter("found = n").select("query_id", "path")
         bare = plans.filter(F.size("tokens") == 0).select("query_id")
         if not bare.isEmpty():
             near = near.unionByName(bare.withColumn("all", F.lit(1)).join(files.select("path", F.lit(1).alias("all")), "all").select("query_id", "path"))
-        near = texts.join(_few(cut_lineage(near)), "path").join(plans, "query_id")
+        near = read(_few(cut_lineage(near))).join(_few(plans), "query_id")
         hits = near.withColumn("hits", F.slice(F.filter("lines", holds), 1, LINES_PER_FILE)).filter(F.size("hits") > 0)
         hits = hits.select("query_id", "query", "tokens", "path", scored(F.col("hits"), F.col("path_folded")).alias("s")).select("query_id", "query", "tokens", "path", "s.*")
         exact = cut_lineage(_top(hits, limit).withColumn("relaxed", F.lit(False)))
     loose = None
     if relaxed is not False:
-        pairs = pairs.filter("loose")
         if exact is not None:
-            pairs = pairs.join(_few(exact.select("query_id").distinct()), "query_id", "left_anti")
+            asked = asked.join(_few(exact.select("query_id").distinct()), "query_id", "left_anti")
+        pairs = cut_lineage(_paired(post, _few(cut_lineage(asked))).filter("loose"))
         # a line break may part the words of a query, which then stands in the kept lines as they are joined
-        whole = texts.join(_few(cut_lineage(pairs.filter("all_kept"))), "path").join(plans.select("query_id", "folded"), "query_id")
+        whole = read(_few(cut_lineage(pairs.filter("all_kept")))).join(_few(plans.select("query_id", F.col("folded").alias("phrase"))), "query_id")
         joined = F.array_join(F.transform(F.filter("lines", lambda v: F.array_contains(F.col("kept").cast("array<bigint>"), v["line_no"])), lambda v: v["folded"]), " ")
-        whole = whole.withColumn("total", F.col("total") + F.when(F.contains(joined, F.col("folded")), 100).otherwise(0))
+        whole = whole.withColumn("total", F.col("total") + F.when(F.contains(joined, F.col("phrase")), 100).otherwise(0))
         names = [c for c in _RANKED if c not in ("query", "tokens", "relevance_score")]
         score = F.round("total", 2).alias("relevance_score")
         ranked = _top(pairs.filter("not all_kept").select(*names, score), limit).drop("rank").unionByName(whole.select(*names, score))
         top = _few(cut_lineage(_top(ranked, limit)))
         line = F.get(F.col("lines"), (F.col("line_no") - 1).cast("int"))["snippet"]
-        loose = texts.join(top, "path").withColumn("snippet", line).join(plans.select("query_id", "query", "tokens"), "query_id").withColumn("relaxed", F.lit(True))
+        loose = read(top).withColumn("snippet", line).join(_few(plans.select("query_id", "query", "tokens")), "query_id").withColumn("relaxed", F.lit(True))
     columns = [*_RANKED, "snippet", "rank", "relaxed"]
     parts = [x.select(*columns) for x in (exact, loose) if x is not None]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

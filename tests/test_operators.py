@@ -57,7 +57,9 @@ def loop_search(files, queries, limit):
     return sorted(out)
 
 
-def test_search_is_the_loop_over_pairs(spark):
+@pytest.mark.parametrize("scanned", [0, 24])
+def test_search_is_the_loop_over_pairs(spark, monkeypatch, scanned):
+    monkeypatch.setattr(search, "SCANNED", scanned)
     r = random.Random(12)
     words = "ab abc bcd Straße STRASSE ΟΔΟΣ οδος ﬁn code search xx.y a-b 漢字 漢字仮名 ! -- É".split()
     files = [(f"{r.choice(words)}/{i}.txt", "\n".join(" ".join(r.choice(words) for _ in range(r.randrange(6))) for _ in range(r.randrange(14)))) for i in range(40)]
