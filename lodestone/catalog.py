@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import govern, ids, query, text, urls
-from lodestone.operators import anchors, crawl, documents, merge, search, verify
+from lodestone.operators import anchors, crawl, documents, fetch, merge, search, verify
 from lodestone.session import spread, table
 from lodestone.sources.workspace import selected_paths
 
@@ -303,16 +303,49 @@ def receipts(spark, sf_dir):
     return documents.receipts(docs, ["doc_id"]).select("doc_id", "source_sha256", "bytes", "normalized_chars", "receipt_id", "status", "thin_content", "raw_path", F.array_join("warnings", ",").alias("warnings"))
 
 
-@_register(r"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['s', 'h', 'p', 'q']) AS u FROM pages)
-SELECT page_id, lower(u.s) || '://' || lower(u.h) || CASE WHEN u.p = '' THEN '/' ELSE u.p END || CASE WHEN u.q = '?' THEN '' ELSE u.q END AS normalized_url,
-    lower(u.h) AS host, CASE WHEN lower(u.s) = 'https' THEN 443 ELSE 80 END::BIGINT AS port, 'web-candidate' AS source_class,
-    CASE WHEN lower(u.s) <> 'https' THEN 'HTTPS is required' WHEN u.h LIKE 'th%.example.com' AND u.h = 'ththre.example.com' THEN 'host is not allowed' END AS block_reason
-FROM p
-""")
+#: Hosts put in place of the pages' own, by the remainder of the page's number; null leaves it.
+_HOSTS = ("127.0.0.1", "10.1.2.3", "169.254.169.254", "[::1]", "8.8.8.8", "bücher.example", "localhost", "printer.local", "docs.python.org", "gist.github.com", "user@host.example", "", "[::ffff:10.0.0.1]", "ask.blocked.example", None, None, None, None, None, None)
+
+
+def _policy_urls(spark, sf_dir) -> DataFrame:
+    """Pages whose hosts are in part addresses, of other scripts, local or denied."""
+    own = F.get(F.array(*[F.lit(h).cast("string") for h in _HOSTS]), (F.col("page_id") % len(_HOSTS)).cast("int"))
+    first = F.regexp_extract("url", "^([a-zA-Z]+://)([^/?#]*)(.*)$", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.when(own.isNull(), F.col("url")).otherwise(F.concat(first, own, F.regexp_extract("url", "^([a-zA-Z]+://)([^/?#]*)(.*)$", 3))).alias("url"))
+
+
+_VALUES = ", ".join(f"({k}, {'NULL' if h is None else repr(h)})" for k, h in enumerate(_HOSTS))
+_POLICY = rf"""
+WITH h(k, h) AS (VALUES {_VALUES}),
+p AS (SELECT page_id, h, regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['s', 'h', 'p', 'q']) AS u FROM pages JOIN h ON page_id % {len(_HOSTS)} = k),
+n AS (SELECT page_id, u, lower(u.s) AS s, CASE WHEN h IS NULL THEN lower(u.h) WHEN h = 'bücher.example' THEN 'xn--bcher-kva.example' ELSE h END AS h FROM p),
+r AS (
+    SELECT *, trim(h, '[]') AS name, h <> '' AND h NOT LIKE '%@%' AS fine,
+        CASE WHEN h = '' THEN 'URL host is required' WHEN h LIKE '%@%' THEN 'credentials embedded in URLs are not allowed' WHEN s <> 'https' THEN 'HTTPS is required'
+            WHEN h = 'ththre.example.com' OR h LIKE '%.blocked.example' THEN 'host is not allowed'
+            WHEN NOT (h LIKE '%.com' OR h LIKE '%.example' OR h LIKE '%.org' OR h LIKE '%.local' OR regexp_matches(h, '[0-9:]') OR h = 'localhost') THEN 'host is not allowed'
+            WHEN h = 'localhost' OR h LIKE '%.local' THEN 'local hostnames are blocked'
+            WHEN h IN ('127.0.0.1', '10.1.2.3', '169.254.169.254', '[::1]', '[::ffff:10.0.0.1]') THEN 'non-public IP targets are blocked'
+            WHEN h = '8.8.8.8' THEN NULL WHEN length(h) % 5 = 0 THEN 'host could not be resolved' WHEN length(h) % 5 = 1 THEN 'host resolves to a private address' END AS block_reason
+    FROM n
+)
+SELECT page_id, CASE WHEN fine THEN s || '://' || h || CASE WHEN u.p = '' THEN '/' ELSE u.p END || CASE WHEN u.q = '?' THEN '' ELSE u.q END END AS normalized_url, CASE WHEN fine THEN name END AS host,
+    CASE WHEN h = '' THEN 'invalid_input' WHEN block_reason IS NOT NULL THEN 'policy_blocked' END AS error_code, block_reason, coalesce(block_reason = 'host could not be resolved', FALSE) AS retryable,
+    CASE WHEN name LIKE '%docs.python.org' THEN 'official-candidate' WHEN name LIKE '%github.com' THEN 'open-source-candidate' ELSE 'web-candidate' END AS source_class
+FROM r
+"""
+
+
+@_register(_POLICY)
 def url_policy(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(url).alias("normalized_url"), urls.host(url).alias("host"), urls.port(url).cast("long").alias("port"), urls.source_class(url).alias("source_class"), urls.block_reason(url, denied=("ththre.example.com",), require_https=True).alias("block_reason"))
+    """The whole policy, with domain lists and a table of addresses: hosts are without one, or have a private one, by the length of their names."""
+    pages = _policy_urls(spark, sf_dir)
+    n, public, private = F.length("host") % 5, F.array(F.lit("93.184.216.34")), F.array(F.lit("93.184.216.34"), F.lit("192.168.0.9"))
+    hosts = pages.select(urls.host(urls.ascii_url(F.col("url"))).alias("host")).distinct()
+    dns = hosts.filter(n != 0).select("host", F.explode(F.when(n == 1, private).otherwise(public)).alias("address"))
+    allowed = ("com", "example", "org", "local", "localhost", *(h.strip("[]") for h in _HOSTS if h and (h[0] == "[" or h[0].isdigit())))
+    out = urls.validated(pages, dns, denied=("ththre.example.com", "blocked.example"), allowed=allowed, require_https=True)
+    return out.select("page_id", "normalized_url", "host", "error_code", "block_reason", "retryable", F.coalesce(urls.source_class(F.col("normalized_url")), F.lit("web-candidate")).alias("source_class"))
 
 
 @_register(r"""
@@ -461,6 +494,80 @@ def page_links(spark, sf_dir):
     return documents.html_links(table(spark, sf_dir, "pages").select("page_id", "html", "url"), ["page_id"], "html", "url", scope="document")
 
 
+_ROUTES = """
+WITH d AS (SELECT doc_id, 'https://site.example/' || doc_id AS url, text, doc_id % 6 AS k FROM documents),
+r AS (
+    SELECT doc_id, url, 1 AS pos, 'direct' AS adapter, FALSE AS remote, CASE WHEN k = 1 THEN 'failed' ELSE 'success' END AS status, CASE WHEN k = 1 THEN 503 WHEN k = 5 THEN 200 ELSE 200 END AS http,
+        CASE WHEN k = 2 THEN left(text, 40) ELSE text END AS body, k <> 5 AS converts, CASE WHEN k = 3 THEN 'json' ELSE 'text' END AS kind FROM d
+    UNION ALL
+    SELECT doc_id, url, 2, 'jina', TRUE, CASE WHEN k = 4 THEN 'skipped' ELSE 'success' END, 200, 'Title ' || doc_id || chr(10) || text, TRUE, 'provided' FROM d
+),
+n AS (SELECT *, CASE WHEN status = 'success' AND converts THEN CASE kind WHEN 'json' THEN '```json' || chr(10) || regexp_replace(body, '^\\s+|\\s+$', '', 'g') || chr(10) || '```' || chr(10)
+    ELSE regexp_replace(regexp_replace(body, '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) END END AS md FROM r),
+e AS (SELECT *, min(pos) FILTER (length(md) >= 160) OVER (PARTITION BY url) AS stop FROM n),
+t AS (SELECT * FROM e WHERE stop IS NULL OR pos <= stop)
+"""
+
+
+def _fetch_results(spark, sf_dir) -> DataFrame:
+    """Documents as fetched pages: some fail, are thin, are JSON or of a type that nothing converts; a second reader returns Markdown."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://site.example/"), F.col("doc_id").cast("string")).alias("url"), "doc_id", "text", (F.col("doc_id") % 6).alias("k"))
+    at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    k, nothing = F.col("k"), F.lit(None).cast("string")
+    direct = docs.select("url", "doc_id", F.lit("direct").alias("adapter"), F.lit(False).alias("remote"), F.lit(False).alias("authenticated"), F.lit(True).alias("available"), F.col("url").alias("final_url"), F.when(k == 1, 503).otherwise(200).alias("status_code"), F.when(k == 3, "application/json").when(k == 5, "application/x-unknown").otherwise("text/plain; charset=UTF-8").alias("content_type"), F.when(k == 2, F.left("text", F.lit(40))).otherwise(F.col("text")).cast("binary").alias("body"), at.alias("fetched_at"), F.lit("allowed").alias("robots_status"), nothing.alias("provided_markdown"), nothing.alias("error_code"), nothing.alias("error_message"), F.lit(None).cast("boolean").alias("retryable"))
+    answers = docs.select("url", "doc_id", (k != 4).alias("available"), F.lit(200).alias("status_code"), F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit("\n"), "text").cast("binary").alias("body"), at.alias("fetched_at"), F.lit("allowed").alias("robots_status"), nothing.alias("error_code"), nothing.alias("error_message"), F.lit(None).cast("boolean").alias("retryable"))
+    return direct.unionByName(fetch.jina_result(answers).select(direct.columns))
+
+
+@_register(_ROUTES + """,
+b AS (
+    SELECT url, arg_min(body, pos) FILTER (status = 'success') AS raw, arg_max(md, pos) FILTER (md IS NOT NULL) AS md, arg_max(kind, pos) FILTER (md IS NOT NULL) AS kind, arg_min(kind, pos) FILTER (status = 'success') AS raw_kind,
+        arg_min(converts, pos) FILTER (status = 'success') AS raw_converts, arg_min(adapter, pos) FILTER (status = 'success') AS raw_adapter, string_agg(adapter, ',' ORDER BY pos) FILTER (status <> 'skipped') AS route,
+        list(adapter || '_returned_thin_content') FILTER (length(md) < 160) AS thin, bool_or(remote AND status <> 'skipped') AS remote_adapter_used
+    FROM t GROUP BY url
+)
+SELECT url, CASE WHEN raw IS NULL THEN 'failed' WHEN coalesce(length(md), 0) >= 160 THEN 'complete' ELSE 'partial' END AS status, route, sha256(raw) AS source_sha256, strlen(raw) AS source_bytes,
+    CASE kind WHEN 'json' THEN 'builtin:json' WHEN 'text' THEN 'builtin:text' WHEN 'provided' THEN 'jina:provided-markdown' END AS method, CASE WHEN raw IS NOT NULL THEN coalesce(length(md), 0) END AS normalized_chars, sha256(md) AS markdown_sha256,
+    CASE WHEN raw IS NULL THEN NULL WHEN raw_adapter = 'jina' THEN 'raw.md' WHEN raw_kind = 'json' THEN 'raw.json' WHEN NOT raw_converts THEN 'raw.bin' ELSE 'raw.txt' END AS raw_path, remote_adapter_used,
+    CASE WHEN raw IS NOT NULL THEN list_aggregate(list_sort(list_distinct(list_concat(list_concat(coalesce(thin, []::VARCHAR[]), CASE WHEN md IS NULL THEN ['normalization_unavailable'] WHEN kind = 'provided' THEN ['raw_origin_not_preserved'] ELSE []::VARCHAR[] END),
+        CASE WHEN coalesce(length(md), 0) < 160 THEN ['normalized_content_below_threshold', 'source_content_is_untrusted_data'] ELSE ['source_content_is_untrusted_data'] END))), 'string_agg', ',') END AS warnings
+FROM b
+""")
+def fetch_bundles(spark, sf_dir):
+    """Evidence bundles of fetched pages, by the automatic route with remote readers."""
+    out = fetch.bundles(fetch.tried(_fetch_results(spark, sf_dir), allow_remote=True))
+    return out.select("url", "status", F.array_join("route", ",").alias("route"), "source_sha256", "source_bytes", "method", "normalized_chars", ids.sha256(F.col("markdown")).alias("markdown_sha256"), "raw_path", "remote_adapter_used", F.array_join("warnings", ",").alias("warnings"))
+
+
+@_register(_ROUTES + """
+SELECT url, row_number() OVER (PARTITION BY url ORDER BY pos, part) - 1 AS seq, CASE part WHEN 0 THEN adapter ELSE adapter || ':normalize' END AS adapter, CASE part WHEN 0 THEN status ELSE 'failed' END AS status,
+    CASE WHEN part = 1 OR status = 'skipped' THEN 'adapter_unavailable' WHEN status = 'failed' THEN 'fetch_failed' END AS code,
+    CASE WHEN part = 1 THEN 'no converter for application/x-unknown' WHEN status = 'skipped' THEN 'reader is not available' WHEN status = 'failed' THEN 'HTTP status 503' END AS message,
+    part = 0 AND status = 'failed' AS retryable, CASE WHEN part = 0 AND status <> 'skipped' THEN http ELSE 0 END::BIGINT AS http_status,
+    CASE WHEN part = 0 AND md IS NOT NULL THEN CASE kind WHEN 'json' THEN 'builtin:json' WHEN 'text' THEN 'builtin:text' ELSE 'jina:provided-markdown' END END AS method, CASE WHEN part = 0 AND status = 'success' AND md IS NULL THEN strlen(body) ELSE 0 END::BIGINT AS raw_bytes
+FROM (SELECT *, unnest(CASE WHEN status = 'success' AND md IS NULL THEN [0, 1] ELSE [0] END) AS part FROM t)
+""")
+def attempt_records(spark, sf_dir):
+    out = fetch.attempt_records(fetch.tried(_fetch_results(spark, sf_dir), allow_remote=True)).drop("remote", "authenticated")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("http_status", "raw_bytes")})
+
+
+@_register(r"""
+WITH f AS (SELECT source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.MD' WHEN 1 THEN '.json' WHEN 2 THEN '.xyz' ELSE '.txt' END AS path, doc_id, doc_id % 4 AS k, text FROM documents),
+m AS (SELECT *, strlen(text) > 100000 AS large, CASE WHEN strlen(text) <= 100000 AND k <> 2 THEN CASE WHEN k = 1 THEN '```json' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || '```' || chr(10) ELSE regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) END END AS md FROM f)
+SELECT path, CASE WHEN large THEN 'failed' WHEN coalesce(length(md), 0) >= 160 THEN 'complete' ELSE 'partial' END AS status, CASE WHEN large THEN 'invalid_input' END AS error_code, CASE WHEN NOT large THEN 'manual://' || doc_id || CASE k WHEN 0 THEN '.MD' WHEN 1 THEN '.json' WHEN 2 THEN '.xyz' ELSE '.txt' END END AS final_url,
+    CASE WHEN md IS NOT NULL THEN CASE WHEN k = 1 THEN 'builtin:json' ELSE 'builtin:text' END END AS method, CASE WHEN md IS NOT NULL THEN doc_id::VARCHAR END AS title, coalesce(length(md), 0) AS normalized_chars, sha256(md) AS markdown_sha256,
+    CASE WHEN NOT large THEN CASE k WHEN 0 THEN 'raw.md' WHEN 1 THEN 'raw.json' WHEN 2 THEN 'raw.bin' ELSE 'raw.txt' END END AS raw_path
+FROM m
+""")
+def ingest_files(spark, sf_dir):
+    """Evidence bundles of local files of several kinds."""
+    end = F.element_at(F.array(*[F.lit(x) for x in (".MD", ".json", ".xyz", ".txt")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("path"), F.col("text").cast("binary").alias("body"), F.to_timestamp(F.lit("2024-01-02 03:04:05")).alias("read_at"))
+    out = fetch.ingested(files, max_bytes=100_000)
+    return out.select(F.col("url").alias("path"), "status", "error_code", "final_url", "method", "title", F.coalesce("normalized_chars", F.lit(0)).cast("long").alias("normalized_chars"), ids.sha256(F.col("markdown")).alias("markdown_sha256"), "raw_path")
+
+
 _TAMPER = "SELECT doc_id, text, sha256(text) AS sha256, strlen(text) AS bytes FROM documents"
 
 

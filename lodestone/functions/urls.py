@@ -6,7 +6,7 @@ import ipaddress
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ OFFICIAL_DOMAINS = ("developer.apple.com", "developer.mozilla.org", "docs.anthro
 LOCAL_NAMES = ("localhost", "localhost.localdomain")
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+#: What may be an address: only digits and dots, or a colon.
+_ADDRESS = r"^[0-9.]+$|:"
 _HOST = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
 
 
@@ -76,6 +78,14 @@ def canonical_host(hosts: pd.Series) -> pd.Series:
     return hosts.map(one)
 
 
+def ascii_url(url: Column) -> Column:
+    """The URL with its host in ASCII form; only hosts of other scripts pass through Python. Null if the host has none."""
+    name = F.regexp_extract(authority(url), _HOST, 1)
+    foreign = name.rlike(r"[^\x00-\x7F]")
+    own = canonical_host(F.when(foreign, name))
+    return F.when(F.coalesce(foreign, F.lit(False)), F.replace(strip(url), name, own)).otherwise(url)
+
+
 @F.pandas_udf(T.BooleanType())
 def is_public_ip(values: pd.Series) -> pd.Series:
     """Whether an address is global; IPv4 inside IPv6 counts as IPv4. Null for what is no address."""
@@ -126,8 +136,9 @@ def same_origin(a: Column, b: Column) -> Column:
     return (scheme(a) == scheme(b)) & (host(a) == host(b)) & port(a).eqNullSafe(port(b))
 
 
-def block_reason(url: Column, *, denied=(), allowed=(), subdomains: bool = True, require_https: bool = False) -> Column:
-    """The first rule of the policy that blocks a URL, in the order in which they are tried; null if none does."""
+def block_reason(url: Column, *, denied=(), allowed=(), subdomains: bool = True, require_https: bool = False, deny_private: bool = True) -> Column:
+    """The first rule of the policy that blocks a URL, in the order in which they are tried; null if none does. Hosts that
+    are addresses are judged here, other hosts' addresses by `validated`."""
     name = host(url)
     reason = F.when(problem(url).isNotNull(), problem(url))
     if require_https:
@@ -135,7 +146,32 @@ def block_reason(url: Column, *, denied=(), allowed=(), subdomains: bool = True,
     reason = reason.when(_in(name, denied, subdomains), "host is not allowed")
     if allowed:
         reason = reason.when(~_in(name, allowed, subdomains), "host is not allowed")
-    return reason.when(name.isin(*LOCAL_NAMES) | F.endswith(name, F.lit(".local")), "local hostnames are blocked")
+    reason = reason.when(name.isin(*LOCAL_NAMES) | F.endswith(name, F.lit(".local")), "local hostnames are blocked")
+    return reason.when(~is_public_ip(F.when(name.rlike(_ADDRESS), name)), "non-public IP targets are blocked") if deny_private else reason
+
+
+def validated(urls: DataFrame, dns: DataFrame, *, deny_private: bool = True, **policy) -> DataFrame:
+    """urls (column url, and any others) with normalized_url, host, block_reason (the first rule that blocks, or null),
+    error_code and retryable. dns: host, address (a boundary table).
+
+    The rules are tried in order: form of the URL, HTTPS, domain lists, local names, addresses as hosts, and last the
+    addresses of the host: none blocks, and may be tried again; any that isn't public blocks.
+    """
+    url = F.col("_url")
+    rows = urls.withColumn("_url", ascii_url(F.col("url"))).withColumn("_unfit", F.col("url").isNotNull() & url.isNull())
+    rows = rows.withColumn("normalized_url", normalize(url)).withColumn("host", F.when(F.col("normalized_url").isNotNull(), host(url)))
+    rows = rows.withColumn("_problem", F.when(F.col("_unfit"), "invalid internationalized hostname").otherwise(problem(url)))
+    rows = rows.withColumn("_rule", F.when(F.col("_unfit"), F.col("_problem")).otherwise(block_reason(url, deny_private=deny_private, **policy)))
+    rows = rows.withColumn("_none", F.lit(False)).withColumn("_private", F.lit(False))
+    if deny_private:
+        found = dns.groupBy(F.lower("host").alias("host")).agg(F.bool_and(F.coalesce(is_public_ip("address"), F.lit(False))).alias("_public"))
+        named = F.col("_rule").isNull() & ~F.col("host").rlike(_ADDRESS)
+        rows = rows.drop("_none", "_private").join(found, "host", "left")
+        rows = rows.withColumn("_none", named & F.col("_public").isNull()).withColumn("_private", named & ~F.coalesce("_public", F.lit(True)))
+    reason = F.coalesce("_rule", F.when(F.col("_none"), "host could not be resolved").when(F.col("_private"), "host resolves to a private address"))
+    form = F.col("_problem").isNotNull() & (F.col("_problem") != "credentials embedded in URLs are not allowed")
+    code = F.when(form, "invalid_input").when(reason.isNotNull(), "policy_blocked")
+    return rows.select(*urls.columns, "normalized_url", "host", reason.alias("block_reason"), code.alias("error_code"), F.coalesce("_none", F.lit(False)).alias("retryable"))
 
 
 def resolved_reason(urls, dns):

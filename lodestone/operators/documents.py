@@ -133,6 +133,46 @@ def clean(text: str) -> str:
     return text + "\n" if text else ""
 
 
+def markdown_title(text: str) -> str | None:
+    """As functions.text.markdown_title, for one text."""
+    found = re.search(r"(?m)^#\s+(.+?)\s*$", text)
+    return found[1] if found else None
+
+
+def links_of_markdown(text: str, base: str) -> list[dict]:
+    """As functions.text.markdown_links, for one text: inline links in order, resolved, the first of each text and target."""
+    out = {}
+    for name, href in re.findall(r"""\[([^\]]+)\]\(([^)\s]+)(?:\s+['"][^'"]*['"])?\)""", text):
+        try:
+            url = urljoin(base, href)
+        except ValueError:
+            continue
+        if url.startswith(("http://", "https://")):
+            out[" ".join(name.split()), url] = None
+    return [{"text": t, "url": u} for t, u in out]
+
+
+#: Media types and endings of file names that each conversion takes.
+HTML_TYPES, JSON_TYPES, XML_TYPES = ("text/html", "application/xhtml+xml"), ("application/json", "application/ld+json"), ("application/xml", "application/rss+xml", "application/atom+xml")
+HTML_ENDS, JSON_ENDS, TEXT_ENDS = (".html", ".htm"), (".json",), (".md", ".markdown", ".txt", ".xml", ".csv", ".yaml", ".yml")
+TYPES = {".html": "text/html", ".htm": "text/html", ".json": "application/json", ".md": "text/markdown", ".markdown": "text/markdown", ".txt": "text/plain", ".xml": "application/xml", ".csv": "text/csv", ".yaml": "application/yaml", ".yml": "application/yaml", ".pdf": "application/pdf"}
+
+
+def kind_of_type(content_type: str | None) -> str:
+    """As normalizer(), for one media type."""
+    kind = (content_type or "").split(";")[0].strip().lower()
+    return "html" if kind in HTML_TYPES else "json" if kind in JSON_TYPES else "text" if kind.startswith("text/") or kind in XML_TYPES else "external"
+
+
+def kind_of_suffix(suffix: str) -> str:
+    return "html" if suffix in HTML_ENDS else "json" if suffix in JSON_ENDS else "text" if suffix in TEXT_ENDS else "external"
+
+
+def type_by_suffix(suffix: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, suffix), F.lit("application/octet-stream"))
+
+
 def convert(markup: str, base: str = "", scope: str = "content") -> dict:
     """title, markdown, links ([text, url]) and warnings of one page.
 
@@ -204,13 +244,13 @@ def json_markdown(values: pd.Series) -> pd.Series:
 def normalizer(content_type: Column) -> Column:
     """Which conversion a media type takes: html, json, text, or none that is built in."""
     kind = media_type(content_type)
-    return F.when(kind.isin("text/html", "application/xhtml+xml"), "html").when(kind.isin("application/json", "application/ld+json"), "json").when(F.startswith(kind, F.lit("text/")) | kind.isin("application/xml", "application/rss+xml", "application/atom+xml"), "text").otherwise("external")
+    return F.when(kind.isin(*HTML_TYPES), "html").when(kind.isin(*JSON_TYPES), "json").when(F.startswith(kind, F.lit("text/")) | kind.isin(*XML_TYPES), "text").otherwise("external")
 
 
 def normalizer_by_suffix(path: Column) -> Column:
     """Which conversion a local file takes, by the ending of its name."""
     end = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    return F.when(end.isin(".html", ".htm"), "html").when(end == ".json", "json").when(end.isin(".md", ".markdown", ".txt", ".xml", ".csv", ".yaml", ".yml"), "text").otherwise("external")
+    return F.when(end.isin(*HTML_ENDS), "html").when(end.isin(*JSON_ENDS), "json").when(end.isin(*TEXT_ENDS), "text").otherwise("external")
 
 
 def used_flags(attempts: DataFrame, keys: list[str]) -> DataFrame:
