@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import govern, ids, query, text, urls
-from lodestone.operators import anchors, crawl, documents, fetch, merge, search, verify
+from lodestone.operators import anchors, crawl, documents, fetch, merge, search, unified, verify
 from lodestone.session import spread, table
 from lodestone.sources.workspace import selected_paths
 
@@ -196,6 +196,64 @@ def round_robin_merge(spark, sf_dir):
     return merge.provider_ranks(first.unionAll(second), 12)
 
 
+_EVERYWHERE = """
+WITH l AS (SELECT doc_id % 20 AS query_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) - 1 AS idx, source || '/' || doc_id || '.txt' AS locator FROM documents),
+a AS (
+    SELECT conv_id % 20 AS query_id, 'exa' AS provider, 0 AS variant, conv_id AS nth, 'https://docs.python.org/' || conv_id % 7 || CASE WHEN conv_id % 3 = 0 THEN '/' ELSE '' END AS locator FROM conversations WHERE turn = 0
+    UNION ALL SELECT conv_id % 20, 'github', conv_id % 2, conv_id, 'https://github.com/x/' || conv_id % 5 FROM conversations WHERE turn = 1
+),
+v AS (SELECT *, min(variant) OVER (PARTITION BY query_id, provider) AS least FROM a),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY nth, locator) - 1 AS idx FROM v WHERE variant = least AND NOT (provider = 'exa' AND query_id % 4 = 0) AND NOT (provider = 'github' AND query_id % 5 = 0)),
+w AS (SELECT * FROM o WHERE idx < 12),
+"""
+
+
+def _everywhere(spark, sf_dir) -> unified.Found:
+    """Documents as local candidates, conversations as the answers of two public providers, one of which fails at times."""
+    from pyspark.sql import Window
+
+    docs, conv = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations").withColumn("query_id", F.col("conv_id") % 20)
+    nothing = F.lit(None).cast("string")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    local = docs.select((F.col("doc_id") % 20).alias("query_id"), F.lit("workspace").alias("provider"), F.lit("local").alias("scope"), (F.row_number().over(Window.partitionBy(F.col("doc_id") % 20).orderBy("doc_id")) - 1).cast("long").alias("idx"), path.alias("title"), path.alias("locator"), F.left("text", F.lit(80)).alias("snippet"), F.lit("workspace-source").alias("source_class"), F.lit("local-source-match").alias("evidence_state"), F.lit("project").alias("sensitivity"))
+    n = F.col("conv_id")
+    answer = lambda rows, name, variant, url: rows.select("query_id", F.lit(name).alias("provider"), variant.cast("int").alias("variant"), n.alias("idx"), F.col("role").alias("title"), url.alias("locator"), F.left("text", F.lit(80)).alias("snippet"), nothing.alias("published_at"))
+    first = answer(conv.filter("turn = 0"), "exa", F.lit(0), F.concat(F.lit("https://docs.python.org/"), (n % 7).cast("string"), F.when(n % 3 == 0, "/").otherwise("")))
+    second = answer(conv.filter("turn = 1"), "github", n % 2, F.concat(F.lit("https://github.com/x/"), (n % 5).cast("string")))
+    queries = local.select("query_id").distinct()
+    states = queries.select("query_id", F.explode(F.array(F.lit("exa"), F.lit("github"))).alias("provider"))
+    failed = (F.col("provider") == "exa") & (F.col("query_id") % 4 == 0)
+    states = states.select("query_id", "provider", (~((F.col("provider") == "github") & (F.col("query_id") % 5 == 0))).alias("available"), F.when(failed, "fetch_failed").alias("error_code"), F.when(failed, "boom Bearer abc").alias("error_message"))
+    return unified.search_everywhere(queries, scopes=["auto"], local=local, results=first.unionByName(second), states=states, provider="all", limit=12)
+
+
+@_register(_EVERYWHERE + """
+p0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(locator, '/+$', '') ORDER BY idx, provider) AS k FROM w),
+p AS (SELECT query_id, provider, locator, idx, row_number() OVER (PARTITION BY query_id ORDER BY idx, provider) - 1 AS place FROM p0 WHERE k = 1),
+e AS (
+    SELECT query_id, 'workspace' AS provider, 'local' AS scope, locator, idx, 0 AS g, idx + 1 AS provider_rank, 'workspace-source' AS source_class FROM l WHERE idx < 12
+    UNION ALL SELECT query_id, provider, 'public', locator, place, 1, idx + 1, CASE provider WHEN 'exa' THEN 'official-candidate' ELSE 'open-source-candidate' END FROM p WHERE place < 12
+),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(locator, '/+$', '') ORDER BY idx, g) AS k FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx, g) AS rank FROM d WHERE k = 1)
+SELECT query_id, rank, provider, scope, locator, source_class, provider_rank FROM r WHERE rank <= 12
+""")
+def search_everywhere(spark, sf_dir):
+    return _everywhere(spark, sf_dir).candidates.select("query_id", "rank", "provider", "scope", "locator", "source_class", "provider_rank")
+
+
+@_register(_EVERYWHERE + """
+q AS (SELECT DISTINCT query_id FROM l),
+c AS (SELECT query_id, 'workspace' AS provider, count(*) AS n FROM l WHERE idx < 12 GROUP BY 1 UNION ALL SELECT query_id, provider, count(*) FROM w GROUP BY 1, 2),
+t AS (SELECT query_id, seq, provider, CASE WHEN provider = 'exa' AND query_id % 4 = 0 THEN 'failed' WHEN provider = 'github' AND query_id % 5 = 0 THEN 'skipped' ELSE 'success' END AS status FROM q, (VALUES (0, 'workspace'), (1, 'exa'), (2, 'github')) s(seq, provider))
+SELECT t.query_id, t.seq, t.provider, CASE t.seq WHEN 0 THEN 'local' ELSE 'public' END AS scope, t.status, coalesce(n, 0) AS candidate_count, CASE t.status WHEN 'failed' THEN 'fetch_failed' WHEN 'skipped' THEN 'adapter_unavailable' END AS code,
+    CASE t.status WHEN 'failed' THEN 'boom Bearer [redacted]' WHEN 'skipped' THEN 'provider is unavailable' END AS message
+FROM t LEFT JOIN c USING (query_id, provider)
+""")
+def search_attempts(spark, sf_dir):
+    return _everywhere(spark, sf_dir).attempts
+
+
 # events as a log of attempts: a query for each user, a provider for each type
 _ATTEMPTS = "SELECT user_id AS query_id, event_type AS provider, CASE WHEN bool_or(value > 30) THEN 'success' ELSE 'failed' END AS status FROM events GROUP BY ALL"
 _FOUND = "SELECT user_id AS query_id, event_type AS provider, count(*) AS candidate_count FROM events WHERE value > 45 GROUP BY ALL"
@@ -357,13 +415,13 @@ def origin_stats(spark, sf_dir):
 
 
 # events as the state of crawls: a crawl for each user
-_STATE = "SELECT user_id AS crawl_id, CASE event_type WHEN 'error' THEN CASE WHEN value > 20 THEN 'failed' ELSE 'blocked' END WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' ELSE 'complete' END AS status, CASE WHEN event_type IN ('error', 'click') THEN CASE WHEN value > 20 THEN 'fetch_failed' ELSE 'policy_blocked' END END AS error_code FROM events"
+_STATE = "SELECT event_id, user_id AS crawl_id, CASE event_type WHEN 'error' THEN CASE WHEN value > 20 THEN 'failed' ELSE 'blocked' END WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' ELSE 'complete' END AS status, CASE WHEN event_type IN ('error', 'click') THEN CASE WHEN value > 20 THEN 'fetch_failed' ELSE 'policy_blocked' END END AS error_code FROM events"
 
 
 def _state(spark, sf_dir) -> DataFrame:
     kind, high = F.col("event_type"), F.col("value") > 20
     status = F.when(kind == "error", F.when(high, "failed").otherwise("blocked")).when(kind == "click", "pending").when(kind == "view", "running").otherwise("complete")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("crawl_id"), status.alias("status"), F.when(kind.isin("error", "click"), F.when(high, "fetch_failed").otherwise("policy_blocked")).alias("error_code"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("crawl_id"), status.alias("status"), F.when(kind.isin("error", "click"), F.when(high, "fetch_failed").otherwise("policy_blocked")).alias("error_code"))
 
 
 @_register(f"""
@@ -375,6 +433,22 @@ def crawl_status_fold(spark, sf_dir):
     return crawl.crawl_status(crawl.status_counts(_state(spark, sf_dir), ["crawl_id"]), F.lit(60))
 
 
+@_register(f"""
+WITH p AS (SELECT * FROM ({_STATE})),
+c AS (SELECT crawl_id, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status IN ('failed', 'blocked')) AS lost, count(*) FILTER (status IN ('pending', 'running')) AS pending, count(*) AS n,
+    string_agg(CASE WHEN status = 'running' THEN 'pending' ELSE status END, ',' ORDER BY event_id) AS statuses FROM p GROUP BY crawl_id),
+f AS (SELECT crawl_id, string_agg(error_code || '=' || n, ',' ORDER BY error_code) AS failures FROM (SELECT crawl_id, error_code, count(*) AS n FROM p WHERE error_code IS NOT NULL GROUP BY ALL) GROUP BY crawl_id)
+SELECT crawl_id, CASE WHEN pending > 0 THEN CASE WHEN n - pending >= 60 THEN 'partial' ELSE 'running' END WHEN complete > 0 AND lost > 0 THEN 'partial' WHEN complete > 0 THEN 'complete' ELSE 'failed' END AS status,
+    n AS pages, complete, pending, statuses, coalesce(failures, '') AS failures FROM c LEFT JOIN f USING (crawl_id)
+""")
+def crawl_receipts(spark, sf_dir):
+    """Receipts of crawls with their pages in order and failures by code."""
+    pages = _state(spark, sf_dir).select("crawl_id", F.col("event_id").cast("string").alias("url"), F.lit(0).alias("depth"), "status", F.lit(None).cast("string").alias("bundle_path"), "error_code", F.col("event_id").alias("added_seq"))
+    out = crawl.receipt(pages.select("crawl_id", F.lit(60).alias("max_pages")).distinct(), pages)
+    codes = F.array_join(F.transform(F.map_entries("failures_by_code"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("crawl_id", "status", F.size("pages").cast("long").alias("pages"), "complete", "pending", F.array_join(F.transform("pages", lambda p: p["status"]), ",").alias("statuses"), codes.alias("failures"))
+
+
 @_register(f"SELECT crawl_id, error_code, count(*) AS pages FROM ({_STATE}) WHERE error_code IS NOT NULL GROUP BY ALL")
 def failures_by_code(spark, sf_dir):
     return crawl.failures_by_code(_state(spark, sf_dir), ["crawl_id"])

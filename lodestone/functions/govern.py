@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,19 +89,21 @@ def safe_value(value: Any, depth: int = 0) -> Any:
     return value
 
 
-@F.udf(T.StringType())
-def safe_json(raw: str | None) -> str | None:
-    """Nested metadata as JSON, within bounds; null if it is no object. Depth has no native form."""
-    import json
+@F.pandas_udf(T.StringType())
+def safe_json(raw: pd.Series) -> pd.Series:
+    """Nested metadata as JSON, within bounds; null if it is no object. Depth has no native form, so batches pass through Arrow."""
 
-    try:
-        value = json.loads(raw) if raw is not None else None
-    except ValueError:
-        return None
-    if not isinstance(value, dict):
-        return None
-    kept = {str(k)[:KEY_TEXT]: safe_value(v) for k, v in list(value.items())[:METADATA_KEYS] if not re.search(SECRET_KEY, str(k))}
-    return json.dumps(kept, ensure_ascii=False, sort_keys=True)
+    def one(text):
+        try:
+            value = json.loads(text) if isinstance(text, str) else None
+        except ValueError:
+            return None
+        if not isinstance(value, dict):
+            return None
+        kept = {str(k)[:KEY_TEXT]: safe_value(v) for k, v in list(value.items())[:METADATA_KEYS] if not re.search(SECRET_KEY, str(k))}
+        return json.dumps(kept, ensure_ascii=False, sort_keys=True)
+
+    return raw.map(one)
 
 
 def bounded(candidates: DataFrame) -> DataFrame:

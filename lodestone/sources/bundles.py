@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.functions.ids import sha256
 
@@ -16,15 +13,10 @@ def artifact_refs(artifacts: DataFrame, keys: list[str]) -> DataFrame:
     return artifacts.select(*keys, "role", "path", sha256(F.col("body")).alias("sha256"), F.octet_length("body").cast("long").alias("bytes"))
 
 
-@F.udf(T.StringType())
-def _sorted_json(value: str | None) -> str | None:
-    return None if value is None else json.dumps(json.loads(value), ensure_ascii=False, sort_keys=True)
-
-
 def json_lines(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys, body: each key's rows as JSON lines with sorted fields, in order."""
     fields = sorted(c for c in rows.columns if c not in keys)
-    lines = rows.select(*keys, F.struct(*order).alias("_o"), _sorted_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("_j"))
+    lines = rows.select(*keys, F.struct(*order).alias("_o"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_j"))
     return lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_j"))), lambda x: F.concat(x["_j"], F.lit("\n"))), "").alias("body"))
 
 
