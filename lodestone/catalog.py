@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import govern, ids, query, text, urls
 from lodestone.operators import anchors, crawl, documents, fetch, merge, search, unified, verify
-from lodestone.session import spread, table
+from lodestone.session import cut_lineage, spread, table
 from lodestone.sources.workspace import selected_paths
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,6 +642,37 @@ def ingest_files(spark, sf_dir):
     return out.select(F.col("url").alias("path"), "status", "error_code", "final_url", "method", "title", F.coalesce("normalized_chars", F.lit(0)).cast("long").alias("normalized_chars"), ids.sha256(F.col("markdown")).alias("markdown_sha256"), "raw_path")
 
 
+@_register("""
+WITH d AS (SELECT doc_id, doc_id % 9 AS k, regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS md FROM documents),
+b AS (SELECT 'https://site.example/' || doc_id AS url, k, length(md) AS chars FROM d)
+SELECT url, failure FROM (
+    SELECT url, unnest(CASE k
+        WHEN 1 THEN ['byte count mismatch: raw.txt', 'sha256 mismatch: raw.txt', 'source byte count does not match raw artifact', 'source sha256 does not match raw artifact']
+        WHEN 2 THEN ['missing artifact: links.json'] WHEN 3 THEN ['unexpected bundle entry: extra.bin'] WHEN 4 THEN ['byte count mismatch: anchors.jsonl', 'sha256 mismatch: anchors.jsonl', 'invalid anchor line 1']
+        WHEN 5 THEN ['byte count mismatch: links.json', 'sha256 mismatch: links.json', 'invalid links artifact'] WHEN 6 THEN ['remote adapter policy flag does not match route']
+        WHEN 7 THEN ['normalized character count mismatch'] ELSE []::VARCHAR[] END) AS failure FROM b
+)
+""")
+def bundle_verification(spark, sf_dir):
+    """Evidence bundles of all documents, some of them tampered with in one way each, against every rule."""
+    docs = table(spark, sf_dir, "documents")
+    url, k = F.concat(F.lit("https://site.example/"), F.col("doc_id").cast("string")), F.col("doc_id") % 9
+    fetched = _fetch_results(spark, sf_dir).filter("adapter = 'direct'").withColumns({"status_code": F.lit(200), "content_type": F.lit("text/plain"), "body": F.col("body")})
+    fetched = fetched.drop("body").join(docs.select(url.alias("url"), F.col("text").cast("binary").alias("body")), "url")
+    tries = fetch.tried(fetched)
+    made = cut_lineage(fetch.bundles(tries))
+    files = fetch.artifacts(made).join(made.select(F.col("receipt_id").alias("bundle"), "url"), "bundle").dropDuplicates(["url", "role"])
+    kinds = docs.select(url.alias("url"), k.alias("k"))
+    receipts = made.join(kinds, "url").withColumn("remote_adapter_used", F.col("remote_adapter_used") | (F.col("k") == 6)).withColumn("normalized_chars", F.col("normalized_chars") + F.when(F.col("k") == 7, 1).otherwise(0))
+    there = files.join(kinds, "url").filter(~((F.col("k") == 2) & (F.col("role") == "links")))
+    role = F.col("role")
+    body = F.when((F.col("k") == 1) & (role == "raw"), F.concat("body", F.lit("!").cast("binary"))).when((F.col("k") == 4) & (role == "anchors"), F.concat(F.lit("{\n").cast("binary"), "body")).when((F.col("k") == 5) & (role == "links"), F.lit("{}").cast("binary")).otherwise(F.col("body"))
+    there = there.select("url", "path", body.alias("body"))
+    extra = kinds.filter("k = 3").select("url", F.lit("extra.bin").alias("path"), F.lit("x").cast("binary").alias("body"))
+    attempts = fetch.attempt_records(tries).select("url", "status", F.col("remote").alias("remote_adapter"), F.col("authenticated").alias("authenticated_adapter"))
+    return verify.bundle_violations(receipts, files.select("url", "role", "path", "sha256", "bytes"), there.unionByName(extra), attempts, ["url"])
+
+
 _TAMPER = "SELECT doc_id, text, sha256(text) AS sha256, strlen(text) AS bytes FROM documents"
 
 

@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 from lodestone.functions import ids
 from lodestone.operators import documents
+from lodestone.operators.anchors import cut_blocks
 
 DIRECT, JINA, FIRECRAWL = "direct", "jina", "firecrawl"
 _TEXT = T.StringType()
 _LINK = T.StructType([T.StructField("text", _TEXT), T.StructField("url", _TEXT)])
-_NORMAL = T.StructType([T.StructField("title", _TEXT), T.StructField("markdown", _TEXT), T.StructField("links", T.ArrayType(_LINK)), T.StructField("warnings", T.ArrayType(_TEXT)), T.StructField("method", _TEXT)])
+_NORMAL = T.StructType([T.StructField("title", _TEXT), T.StructField("markdown", _TEXT), T.StructField("links", T.ArrayType(_LINK)), T.StructField("warnings", T.ArrayType(_TEXT)), T.StructField("method", _TEXT), T.StructField("anchors", T.ArrayType(_TEXT))])
 
 
 def decoded(body: bytes, content_type: str | None) -> str:
@@ -58,11 +59,21 @@ def normalized_body(body: bytes | None, content_type: str | None, base: str, pro
     return None
 
 
+def anchor_lines(markdown: str) -> list[str]:
+    """Each anchor of a document as a line of JSON with sorted fields."""
+    names = ("kind", "heading", "line_start", "line_end", "sha256", "preview")
+    found = (dict(zip(names, b, strict=True)) for b in cut_blocks(markdown))
+    return [json.dumps(a | {"anchor_id": f"a_{a['sha256'][:12]}"}, ensure_ascii=False, sort_keys=True) for a in found]
+
+
 @F.pandas_udf(_NORMAL)
 def _normalized(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    names = ["title", "markdown", "links", "warnings", "method"]
+    names = ["title", "markdown", "links", "warnings", "method", "anchors"]
     for columns in batches:
-        rows = [normalized_body(*(None if isinstance(v, float) else v for v in row)) or dict.fromkeys(names) for row in zip(*columns, strict=True)]
+        rows = []
+        for row in zip(*columns, strict=True):
+            made = normalized_body(*(None if isinstance(v, float) else v for v in row))
+            rows.append(made | {"anchors": anchor_lines(made["markdown"])} if made else dict.fromkeys(names))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -208,6 +219,9 @@ def bundles(tries: DataFrame, *, reader: str = "auto", min_chars: int = document
         F.col("normal.title").alias("title"),
         here(chars.cast("long")).alias("normalized_chars"),
         F.col("normal.links").alias("links"),
+        F.col("normal.anchors").alias("anchors"),
+        here(F.coalesce(F.size("normal.anchors"), F.lit(0)).cast("long")).alias("anchor_count"),
+        here(F.coalesce(F.size("normal.links"), F.lit(0)).cast("long")).alias("link_count"),
         here(F.array_sort(F.array_distinct(warnings))).alias("warnings"),
         "remote_adapter_used",
         "authenticated_adapter_used",
@@ -218,11 +232,12 @@ def bundles(tries: DataFrame, *, reader: str = "auto", min_chars: int = document
 
 
 def artifacts(made: DataFrame) -> DataFrame:
-    """bundle, role, path, media_type, sha256, bytes, body of the files of each bundle: raw, normalized and links."""
+    """bundle, role, path, media_type, sha256, bytes, body of the files of each bundle: raw, normalized, anchors and links."""
     links = F.concat(F.coalesce(F.to_json("links"), F.lit("[]")), F.lit("\n"))
     files = F.array(
         F.struct(F.lit("raw").alias("role"), F.col("raw_path").alias("path"), F.col("media_type").alias("media_type"), F.col("body").alias("body")),
-        F.when(F.col("markdown").isNotNull(), F.struct(F.lit("normalized").alias("role"), F.lit("document.md").alias("path"), F.lit("text/markdown").alias("media_type"), F.col("markdown").cast("binary").alias("body"))),
+        F.when(F.col("markdown").isNotNull(), F.struct(F.lit("normalized").alias("role"), F.lit("normalized.md").alias("path"), F.lit("text/markdown").alias("media_type"), F.col("markdown").cast("binary").alias("body"))),
+        F.when(F.col("markdown").isNotNull(), F.struct(F.lit("anchors").alias("role"), F.lit("anchors.jsonl").alias("path"), F.lit("application/x-ndjson").alias("media_type"), F.array_join(F.transform("anchors", lambda a: F.concat(a, F.lit("\n"))), "").cast("binary").alias("body"))),
         F.when(F.col("markdown").isNotNull(), F.struct(F.lit("links").alias("role"), F.lit("links.json").alias("path"), F.lit("application/json").alias("media_type"), links.cast("binary").alias("body"))),
     )
     rows = made.filter("status != 'failed'").select(F.col("receipt_id").alias("bundle"), F.explode(F.filter(files, lambda f: f.isNotNull())).alias("f"))

@@ -18,8 +18,11 @@ DERIVED_PATHS = {"normalized": "normalized.md", "anchors": "anchors.jsonl", "lin
 def artifact_violations(stated: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path, failure. stated: keys, role, path, sha256, bytes; there: keys, path, body. One full outer join."""
     found = there.select(*keys, "path", F.octet_length("body").cast("long").alias("_bytes"), sha256(F.col("body")).alias("_sha"), F.lit(True).alias("_there"))
-    rows = stated.withColumn("_stated", F.lit(True)).join(found, [*keys, "path"], "full_outer")
+    # a path that is stated twice is one row for each statement
+    times = stated.groupBy(*keys, "path").agg(F.count("*").alias("_times"))
+    rows = stated.withColumn("_stated", F.lit(True)).join(times, [*keys, "path"]).join(found, [*keys, "path"], "full_outer")
     checks = [
+        ("duplicate artifact path", F.col("_times") > 1),
         ("unsafe artifact path", F.col("_stated") & ~safe_child(F.col("path"))),
         ("missing artifact", F.col("_stated") & F.col("_there").isNull()),
         ("byte count mismatch", F.col("_stated") & (F.col("_bytes") != F.col("bytes"))),
@@ -93,6 +96,57 @@ def derived_violations(receipts: DataFrame, markdown: DataFrame, anchors: DataFr
     return counts.unionByName(anchor_mismatches(markdown, anchors, keys).select(*keys, "failure"))
 
 
+def file_violations(receipts: DataFrame, stated: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failure: what the derived files of bundles hold, against each other and the receipt.
+
+    receipts: keys, normalized_chars, anchor_count, link_count; stated: keys, role, path; there: keys, path, body
+    (binary). Lines of anchors and links that can't be read are failures of their own, and counted as not there.
+    """
+    files = stated.filter(F.col("role").isin(*DERIVED)).dropDuplicates([*keys, "role"]).join(there.select(*keys, "path", F.col("body").cast("binary").alias("body")), [*keys, "path"])
+    texts = files.select(*keys, "role", F.try_validate_utf8(F.col("body").cast("string")).alias("text"))
+    wrong = texts.filter(F.col("text").isNull() & (F.col("role") != "links")).select(*keys, F.concat("role", F.lit(" artifact is not UTF-8")).alias("failure"))
+    none = receipts.join(files.select(*keys).distinct(), keys, "left_anti").filter("normalized_chars <> 0").select(*keys, F.lit("normalized character count must be zero without derived artifacts").alias("failure"))
+    shape = "kind string, heading string, line_start bigint, line_end bigint, sha256 string, preview string, anchor_id string"
+    anchor_lines = F.filter(F.split("text", "\n"), lambda v: F.trim(v) != "")
+    rows = texts.filter("role = 'anchors' and text is not null").select(*keys, F.posexplode(anchor_lines).alias("pos", "line")).withColumn("a", F.from_json("line", shape))
+    fine = F.col("a.kind").isNotNull() & F.col("a.line_start").isNotNull() & F.col("a.line_end").isNotNull() & F.col("a.sha256").isNotNull()
+    odd = rows.filter(~F.coalesce(fine, F.lit(False))).select(*keys, F.concat(F.lit("invalid anchor line "), (F.col("pos") + 1).cast("string")).alias("failure"))
+    found = rows.filter(F.coalesce(fine, F.lit(False))).select(*keys, "pos", "a.*")
+    listed = texts.filter("role = 'links'").withColumn("l", F.from_json("text", "array<struct<text:string,url:string>>"))
+    whole = F.col("l").isNotNull() & F.coalesce(F.forall("l", lambda x: x["url"].isNotNull() & x["text"].isNotNull()), F.lit(False)) & F.startswith(F.ltrim(F.coalesce("text", F.lit(""))), F.lit("["))
+    bad = listed.filter(~F.coalesce(whole, F.lit(False))).select(*keys, F.lit("invalid links artifact").alias("failure"))
+    links = listed.filter(F.coalesce(whole, F.lit(False))).select(*keys, F.explode("l").alias("link"))
+    markdown = texts.filter("role = 'normalized' and text is not null").select(*keys, F.col("text").alias("markdown"))
+    derived = derived_violations(receipts.join(files.select(*keys).distinct(), keys, "left_semi"), markdown, found, links, keys)
+    return reduce(DataFrame.unionByName, [wrong, none, odd, bad, derived])
+
+
+def bundle_violations(receipts: DataFrame, stated: DataFrame, there: DataFrame, attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failure: every rule of evidence bundles. receipts: keys, status, route, remote_adapter_used,
+    authenticated_adapter_used, source_bytes, source_sha256, normalized_chars, anchor_count, link_count; attempts: keys,
+    status, remote_adapter, authenticated_adapter; stated and there as for `artifact_violations`."""
+    files = artifact_violations(stated, there, keys).select(*keys, F.concat_ws(": ", "failure", "path").alias("failure")).distinct()
+    parts = [files, layout_violations(receipts, stated, keys), path_violations(stated, keys), flag_violations(receipts, attempts, keys), source_violations(receipts, stated, there, keys), file_violations(receipts, stated, there, keys)]
+    return reduce(DataFrame.unionByName, [p.select(*keys, "failure") for p in parts])
+
+
+def state_digests(pages: DataFrame) -> DataFrame:
+    """crawl_id, state_sha256 of the state of each crawl; its pages are bounded by the policy."""
+    row = F.to_json(F.struct("url", "depth", "status", "bundle_path", "error_code", "added_seq"))
+    return pages.groupBy("crawl_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n").cast("binary"), 256).alias("state_sha256"))
+
+
+def state_violations(stated: DataFrame, jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """crawl_id, failure: crawl receipts against their job's row and state. stated and jobs: crawl_id, root_url, reader,
+    policy_sha256, created_at, max_pages, max_depth; stated also crawl_state_sha256."""
+    names = ("root_url", "reader", "policy_sha256", "created_at", "max_pages", "max_depth")
+    other = jobs.select("crawl_id", F.struct(*names).alias("_job"))
+    rows = stated.join(other, "crawl_id", "left").join(state_digests(pages), "crawl_id", "left")
+    checks = [F.when(F.col("_job").isNull(), "invalid crawl state"), F.when(~F.col("crawl_state_sha256").eqNullSafe(F.col("state_sha256")), "crawl state sha256 mismatch")]
+    checks += [F.when(F.col("_job").isNotNull() & ~F.col(n).eqNullSafe(F.col(f"_job.{n}")), f"crawl state metadata mismatch: {n}") for n in names]
+    return rows.select("crawl_id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("failure"))
+
+
 def crawl_violations(stated: DataFrame, pages: DataFrame, stated_pages: DataFrame) -> DataFrame:
     """crawl_id, url, failure: a crawl receipt against its state.
 

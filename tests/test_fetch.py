@@ -30,7 +30,7 @@ def test_a_thin_answer_falls_back_and_stays_the_raw_artifact(spark):
     assert b.remote_adapter_used and not b.authenticated_adapter_used and "direct_returned_thin_content" in b.warnings and "raw_origin_not_preserved" in b.warnings
     assert made(spark, rows)[1]["u"].route == ["direct"] and made(spark, rows)[1]["u"].status == "partial"
     files = {r.role: r for r in fetch.artifacts(fetch.bundles(tries)).collect()}
-    assert set(files) == {"raw", "normalized", "links"} and bytes(files["links"].body) == b"[]\n"
+    assert set(files) == {"raw", "normalized", "anchors", "links"} and bytes(files["links"].body) == b"[]\n"
 
 
 def test_failures_policy_robots_and_sizes(spark):
