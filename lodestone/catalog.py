@@ -321,11 +321,18 @@ def markdown_anchors(spark, sf_dir):
     return anchors.anchors(md, ["conv_id"])
 
 
-@_register(_ANCHORS)
+_FENCES = r"""
+WITH f AS (SELECT conv_id, turn, role, text, turn % 2 = 1 AS code FROM conversations),
+l AS (SELECT conv_id, turn, code, string_split(rtrim(regexp_replace(text, '\n+', chr(10), 'g'), chr(10)), chr(10)) AS a, text FROM f)
+SELECT conv_id, turn, 'a_' || left(sha256('```py' || chr(10) || text || chr(10) || '```'), 12) AS anchor_id, 1::BIGINT AS line_start, len(string_split(text, chr(10))) + 2 AS line_end, sha256('```py' || chr(10) || text || chr(10) || '```') AS sha256 FROM l
+"""
+
+
+@_register(_FENCES)
 def markdown_anchors_fenced(spark, sf_dir):
-    """The general form, which also cuts code fences, on the same documents."""
-    md = markdown_corpus(spark, sf_dir).select("conv_id", text.clean_markdown(F.col("md")).alias("markdown"))
-    return anchors.fenced_anchors(md, ["conv_id"])
+    """Turns as code in fences: each is one anchor, whatever headings, lists and blank lines it holds."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("```py\n"), "text", F.lit("\n```\n")).alias("markdown"))
+    return anchors.fenced_anchors(turns, ["conv_id", "turn"]).filter("kind = 'code'").select("conv_id", "turn", "anchor_id", "line_start", "line_end", "sha256")
 
 
 @_register(f"""
@@ -548,14 +555,6 @@ def fallback_pick(spark, sf_dir):
     return documents.fallback(e, ["url_id"])
 
 
-@_register(r"""
-SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) <> '' AS has_title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS hrefs FROM pages
-""")
-def page_shape(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", (F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1) != "").alias("has_title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("hrefs"))
-
-
 @_register()
 def html_markdown(spark, sf_dir):
     """Pages as Markdown with title and links; tested against fixtures."""

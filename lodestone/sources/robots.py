@@ -12,22 +12,21 @@ from pyspark.sql import types as T
 from lodestone.functions.urls import authority, scheme
 
 MOST_BYTES = 512 * 1024
+#: Parts into which one authority's URLs are dealt, each of which meets its rules once.
+PARTS = 64
 
 
 def _allowed(agent: str):
-    @F.pandas_udf(T.BooleanType())
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def check(bodies: pd.Series, urls: pd.Series) -> pd.Series:
-        parsed: dict[str, RobotFileParser] = {}
+        def one(body, mine):
+            if body is None:
+                return None
+            rules = RobotFileParser()
+            rules.parse(body.splitlines())
+            return [rules.can_fetch(agent, u) for u in mine]
 
-        def one(body, url):
-            if body not in parsed:
-                if len(parsed) > 1000:
-                    parsed.clear()
-                parsed[body] = RobotFileParser()
-                parsed[body].parse(body.encode()[:MOST_BYTES].decode("utf-8", "replace").splitlines())
-            return parsed[body].can_fetch(agent, url)
-
-        return pd.Series([None if b is None else one(b, u) for b, u in zip(bodies, urls, strict=True)], dtype="object")
+        return pd.Series([one(b, u) for b, u in zip(bodies, urls, strict=True)], dtype="object")
 
     return check
 
@@ -38,9 +37,13 @@ def robots_status(urls: DataFrame, robots: DataFrame, *, agent: str, fail_closed
     A 4xx answer allows all; a 5xx one or none blocks, unless the policy fails open.
     """
     key = F.concat(scheme(F.col("url")), F.lit("://"), F.lower(authority(F.col("url"))))
-    rows = urls.withColumn("_authority", key).join(robots.select(F.lower("authority").alias("_authority"), F.col("status_code").alias("_code"), F.col("body").alias("_body")), "_authority", "left")
+    rules = robots.select(F.lower("authority").alias("_authority"), F.col("status_code").alias("_code"), F.left("body", F.lit(MOST_BYTES)).alias("_body"))
+    # each authority's rules meet the distinct paths asked of it in one row, not in one for each URL
+    asked = urls.select(key.alias("_authority"), "url").distinct().groupBy("_authority", (F.pmod(F.xxhash64("url"), F.lit(PARTS))).alias("_part")).agg(F.collect_list("url").alias("_urls"))
+    judged = asked.join(rules, "_authority", "left")
     code = F.col("_code")
-    allowed = _allowed(agent)(F.when(code.between(200, 299), F.coalesce("_body", F.lit(""))), F.col("url"))
-    rows = rows.withColumn("_allowed", allowed)
+    allowed = _allowed(agent)(F.when(code.between(200, 299), F.coalesce("_body", F.lit(""))), F.col("_urls"))
+    verdicts = judged.select("_authority", "_code", F.explode(F.arrays_zip(F.col("_urls").alias("u"), F.coalesce(allowed, F.transform("_urls", lambda u: F.lit(None).cast("boolean"))).alias("ok"))).alias("z")).select("_authority", "_code", F.col("z.u").alias("_url"), F.col("z.ok").alias("_allowed"))
+    rows = urls.join(verdicts, urls["url"] == verdicts["_url"], "left")
     status = F.when(code.between(200, 299), F.when(F.col("_allowed"), "allowed").otherwise("blocked")).when(code.between(400, 499), "unavailable").otherwise(F.lit("blocked" if fail_closed else "unavailable"))
-    return rows.withColumn("robots_status", status).withColumn("robots_allowed", F.col("robots_status") != "blocked").drop("_authority", "_code", "_body", "_allowed")
+    return rows.withColumn("robots_status", status).withColumn("robots_allowed", F.col("robots_status") != "blocked").drop("_authority", "_code", "_url", "_allowed")

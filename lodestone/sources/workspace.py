@@ -27,13 +27,26 @@ def selected_paths(paths: DataFrame, globs: tuple[str, ...] | list[str] = DEFAUL
     return paths.filter(chosen(F.col("path"), globs))
 
 
-def read_folder(spark: SparkSession, root: str, globs: tuple[str, ...] | list[str] = DEFAULT_GLOBS, *, most_bytes: int = 1_000_000, most_files: int = MOST_FILES) -> DataFrame:
-    """path (relative to `root`) and text of the chosen files, read by Spark; larger files are skipped before they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= most_bytes)
-    base = root.rstrip("/").split("://")[-1].replace("file:", "")
+def read_folder(spark: SparkSession, root: str, globs: tuple[str, ...] | list[str] = DEFAULT_GLOBS, *, most_bytes: int = 1_000_000, most_files: int | None = MOST_FILES) -> DataFrame:
+    """path (relative to `root`) and text of the chosen files, read by Spark. Larger files are skipped.
+
+    Paths and sizes are listed first; only the chosen files' contents are read, where they lie, so texts stay in as many
+    partitions as there are. `most_files`: at most so many, the first by path; None for all. Files of excluded folders
+    aren't among the chosen. A root that isn't there is `invalid_input`.
+    """
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.substring_index("path", base + "/", -1)
-    rows = files.select(rel.alias("path"), "content").filter(chosen(F.col("path"), globs)).orderBy("path").limit(most_files)
-    return rows.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("strict"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).select("path", F.coalesce("strict", "text").alias("text"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"invalid_input: search root does not exist: {root}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("rel", rel)
+    fit = files.filter((F.col("length") <= most_bytes) & chosen(F.col("rel"), globs))
+    if most_files is not None:
+        last = fit.select("rel").orderBy("rel").offset(most_files).limit(1).first()  # paths alone
+        if last is not None:
+            fit = fit.filter(F.col("rel") < last["rel"])
+    text = F.col("content").cast("string")
+    return fit.select(F.col("rel").alias("path"), F.coalesce(F.try_validate_utf8(text), F.make_valid_utf8(text)).alias("text"))
 
 
 def ripgrep_matches(raw: DataFrame) -> DataFrame:
