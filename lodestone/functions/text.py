@@ -37,8 +37,8 @@ def fold(x: Column) -> Column:
     """Full case folding: lower case, final sigma and its like as the plain letter, sharp s and ligatures as letters."""
     source, target, several = _folded()
     low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))  # the one that is frequent
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
-    full = F.aggregate(pairs, F.translate(low, source, target), lambda out, p: F.replace(out, p["c"], p["f"]))
+    pairs = F.split(F.lit(" ".join(c + f for c, f in several)), " ")  # one literal, which keeps plans small
+    full = F.aggregate(pairs, F.translate(low, source, target), lambda out, p: F.replace(out, F.left(p, F.lit(1)), F.substring(p, 2, 9)))
     # texts of ASCII and Latin letters end at the first test, which is two ranges
     return F.when(low.rlike(r"[^\x00-\xB4\xB6-\u0148]") & low.rlike(_ranges(source + "".join(c for c, _ in several))), full).otherwise(low)
 

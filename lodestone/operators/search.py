@@ -158,6 +158,12 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
         raise ValueError("case_mode is fold or smart")
     smart = case_mode == "smart"
     plans = cut_lineage(planned(queries))
+    few = plans.count() * Q.MOST_TOKENS <= FEW
+
+    def small(rows: DataFrame) -> DataFrame:
+        """A table of at most MOST_TOKENS rows for each query, to be broadcast if the queries are few."""
+        return F.broadcast(rows) if few else rows
+
     files = files.filter((F.octet_length("text") <= MOST_BYTES) & F.col("path").isNotNull())
     plain = lines(F.col("text"))
     tokens = plans.select("query_id", F.size("tokens").alias("n"), F.posexplode(F.arrays_zip("tokens", F.col("terms"))).alias("place", "z"))
@@ -188,22 +194,22 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
 
     exact = None
     if relaxed is not True:
-        every = post.select("path", "term").join(_few(cut_lineage(tokens.select("query_id", "n", F.col("z.terms.term").alias("term")))), "term")
+        every = post.select("path", "term").join(small(tokens.select("query_id", "n", F.col("z.terms.term").alias("term"))), "term")
         near = every.groupBy("query_id", "path").agg(F.count("*").alias("found"), F.first("n").alias("n")).filter("found = n").select("query_id", "path")
         bare = plans.filter(F.size("tokens") == 0).select("query_id")
         if not bare.isEmpty():
             near = near.unionByName(bare.withColumn("all", F.lit(1)).join(files.select("path", F.lit(1).alias("all")), "all").select("query_id", "path"))
-        near = read(_few(cut_lineage(near))).join(_few(plans), "query_id")
+        near = read(_few(cut_lineage(near))).join(small(plans), "query_id")
         hits = near.withColumn("hits", F.slice(F.filter("lines", holds), 1, LINES_PER_FILE)).filter(F.size("hits") > 0)
         hits = hits.select("query_id", "query", "tokens", "path", scored(F.col("hits"), F.col("path_folded")).alias("s")).select("query_id", "query", "tokens", "path", "s.*")
         exact = cut_lineage(_top(hits, limit).withColumn("relaxed", F.lit(False)))
     loose = None
     if relaxed is not False:
         if exact is not None:
-            asked = asked.join(_few(exact.select("query_id").distinct()), "query_id", "left_anti")
-        pairs = cut_lineage(_paired(post, _few(cut_lineage(asked))).filter("loose"))
+            asked = asked.join(small(exact.select("query_id").distinct()), "query_id", "left_anti")
+        pairs = cut_lineage(_paired(post, small(asked)).filter("loose"))
         # a line break may part the words of a query, which then stands in the kept lines as they are joined
-        whole = read(_few(cut_lineage(pairs.filter("all_kept")))).join(_few(plans.select("query_id", F.col("folded").alias("phrase"))), "query_id")
+        whole = read(_few(cut_lineage(pairs.filter("all_kept")))).join(small(plans.select("query_id", F.col("folded").alias("phrase"))), "query_id")
         joined = F.array_join(F.transform(F.filter("lines", lambda v: F.array_contains(F.col("kept").cast("array<bigint>"), v["line_no"])), lambda v: v["folded"]), " ")
         whole = whole.withColumn("total", F.col("total") + F.when(F.contains(joined, F.col("phrase")), 100).otherwise(0))
         names = [c for c in _RANKED if c not in ("query", "tokens", "relevance_score")]
@@ -211,7 +217,7 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
         ranked = _top(pairs.filter("not all_kept").select(*names, score), limit).drop("rank").unionByName(whole.select(*names, score))
         top = _few(cut_lineage(_top(ranked, limit)))
         line = F.get(F.col("lines"), (F.col("line_no") - 1).cast("int"))["snippet"]
-        loose = read(top).withColumn("snippet", line).join(_few(plans.select("query_id", "query", "tokens")), "query_id").withColumn("relaxed", F.lit(True))
+        loose = read(top).withColumn("snippet", line).join(small(plans.select("query_id", "query", "tokens")), "query_id").withColumn("relaxed", F.lit(True))
     columns = [*_RANKED, "snippet", "rank", "relaxed"]
     parts = [x.select(*columns) for x in (exact, loose) if x is not None]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
