@@ -27,7 +27,7 @@ def _register(sql: str | None = None):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_topk(spark, sf_dir)
+    return search_topk(spark, sf_dir).orderBy("rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
