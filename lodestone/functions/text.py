@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -68,11 +69,17 @@ def lines(x: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def numbered_lines(docs: DataFrame, keys: list[str], text_col: str = "text", *, most_bytes: int | None = 1_000_000) -> DataFrame:
-    """One row per line: keys, line_no (from 1), line. Larger files than `most_bytes` are skipped."""
+def newline_lines(x: Column) -> Column:
+    """Lines that only a newline ends, without a last empty one; an empty text is one empty line."""
+    parts = F.split(x, "\n", -1)
+    return F.when(F.endswith(x, F.lit("\n")), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def numbered_lines(docs: DataFrame, keys: list[str], text_col: str = "text", *, most_bytes: int | None = 1_000_000, cut: Callable[[Column], Column] = lines) -> DataFrame:
+    """One row per line, as `cut` finds them: keys, line_no (from 1), line. Larger files than `most_bytes` are skipped."""
     if most_bytes is not None:
         docs = docs.filter(F.octet_length(text_col) <= most_bytes)
-    return docs.select(*keys, F.posexplode(lines(F.col(text_col))).alias("pos", "line")).select(*keys, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    return docs.select(*keys, F.posexplode(cut(F.col(text_col))).alias("pos", "line")).select(*keys, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def clean_markdown(x: Column) -> Column:

@@ -9,6 +9,8 @@ pairs in which one line may hold the whole query, and for the ranked results; th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,13 +148,14 @@ def _top(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
 
 
-def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: str = "fold", relaxed: bool | None = None) -> DataFrame:
+def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: str = "fold", relaxed: bool | None = None, cut: Callable[[Column], Column] = lines) -> DataFrame:
     """Ranked candidates of each query: query_id, rank, path, line_no, locator, snippet, score columns, variant.
 
     files: path (each once), text; queries: query_id (each once), query. `relaxed`: only the exact variant (False), only
     the relaxed one (True), or relaxed for the queries without exact matches. Files over 1 MB are skipped. Queries
     without a token meet every file, and have no relaxed lines. case_mode `smart`: an exact query, or the pattern of
-    the first six tokens that relaxed lines must match, is taken as it is written if it has an upper-case letter.
+    the first six tokens that relaxed lines must match, is taken as it is written if it has an upper-case letter. `cut`:
+    the lines of a text.
     """
     if case_mode not in ("fold", "smart"):
         raise ValueError("case_mode is fold or smart")
@@ -165,7 +168,7 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
         return F.broadcast(rows) if few else rows
 
     files = files.filter((F.octet_length("text") <= MOST_BYTES) & F.col("path").isNotNull())
-    plain = lines(F.col("text"))
+    plain = cut(F.col("text"))
     tokens = plans.select("query_id", F.size("tokens").alias("n"), F.posexplode(F.arrays_zip("tokens", F.col("terms"))).alias("place", "z"))
     own = F.lit(True)
     if smart:
