@@ -44,6 +44,11 @@ def fold(x: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\xB4\xB6-\u0148]") & low.rlike(_ranges(source + "".join(c for c, _ in several))), full).otherwise(low)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import query as Q
-from lodestone.functions.text import compact, fold, lines, strip
+from lodestone.functions.text import bind, compact, fold, lines, strip
 from lodestone.session import cut_lineage
 
 LINES_PER_FILE = 8
@@ -39,11 +39,6 @@ def planned(queries: DataFrame) -> DataFrame:
     return q.withColumn("folded", fold(F.col("query"))).withColumn("terms", F.transform("tokens", lambda t: F.struct(fold(t).alias("term"), Q.weight(t).alias("weight"))))
 
 
-def _bind(value: Column, use) -> Column:
-    """`use` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _weights(terms: Column, folded: Column) -> Column:
     """Sum of the weights of the terms that the folded text holds."""
     return F.aggregate(terms, F.lit(0.0), lambda out, t: out + F.when(F.contains(folded, t["term"]), t["weight"]).otherwise(0.0))
@@ -70,7 +65,7 @@ def scored(hits: Column, folded_path: Column) -> Column:
             F.size(hits).cast("long").alias("matched_line_count"),
         )
 
-    return _bind(F.struct(F.array_min(weighed).alias("best"), F.array_join(F.transform(hits, lambda h: h["folded"]), " ").alias("combined")), score)
+    return bind(F.struct(F.array_min(weighed).alias("best"), F.array_join(F.transform(hits, lambda h: h["folded"]), " ").alias("combined")), score)
 
 
 def _grams(word: Column) -> Column:
@@ -83,7 +78,7 @@ def _grams(word: Column) -> Column:
         three = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat(pair(i), F.get(chars, i + 2)))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(two, three))
 
-    return _bind(F.split(word, ""), of)
+    return bind(F.split(word, ""), of)
 
 
 def _few(rows: DataFrame) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import safe_child, sha256
+from lodestone.functions.text import bind, lines
 from lodestone.operators.anchors import anchor_mismatches
 from lodestone.operators.crawl import crawl_status, failures_by_code, status_counts
 
 DERIVED = ("normalized", "anchors", "links")
+_RECEIPT = ("status", "route", "remote_adapter_used", "authenticated_adapter_used", "source_bytes", "source_sha256", "normalized_chars", "anchor_count", "link_count")
+_ANCHOR = "kind string, heading string, line_start bigint, line_end bigint, sha256 string, preview string, anchor_id string"
 DERIVED_PATHS = {"normalized": "normalized.md", "anchors": "anchors.jsonl", "links": "links.json"}
 
 
@@ -106,9 +109,8 @@ def file_violations(receipts: DataFrame, stated: DataFrame, there: DataFrame, ke
     texts = files.select(*keys, "role", F.try_validate_utf8(F.col("body").cast("string")).alias("text"))
     wrong = texts.filter(F.col("text").isNull() & (F.col("role") != "links")).select(*keys, F.concat("role", F.lit(" artifact is not UTF-8")).alias("failure"))
     none = receipts.join(files.select(*keys).distinct(), keys, "left_anti").filter("normalized_chars <> 0").select(*keys, F.lit("normalized character count must be zero without derived artifacts").alias("failure"))
-    shape = "kind string, heading string, line_start bigint, line_end bigint, sha256 string, preview string, anchor_id string"
     anchor_lines = F.filter(F.split("text", "\n"), lambda v: F.trim(v) != "")
-    rows = texts.filter("role = 'anchors' and text is not null").select(*keys, F.posexplode(anchor_lines).alias("pos", "line")).withColumn("a", F.from_json("line", shape))
+    rows = texts.filter("role = 'anchors' and text is not null").select(*keys, F.posexplode(anchor_lines).alias("pos", "line")).withColumn("a", F.from_json("line", _ANCHOR))
     fine = F.col("a.kind").isNotNull() & F.col("a.line_start").isNotNull() & F.col("a.line_end").isNotNull() & F.col("a.sha256").isNotNull()
     odd = rows.filter(~F.coalesce(fine, F.lit(False))).select(*keys, F.concat(F.lit("invalid anchor line "), (F.col("pos") + 1).cast("string")).alias("failure"))
     found = rows.filter(F.coalesce(fine, F.lit(False))).select(*keys, "pos", "a.*")
@@ -124,10 +126,137 @@ def file_violations(receipts: DataFrame, stated: DataFrame, there: DataFrame, ke
 def bundle_violations(receipts: DataFrame, stated: DataFrame, there: DataFrame, attempts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, failure: every rule of evidence bundles. receipts: keys, status, route, remote_adapter_used,
     authenticated_adapter_used, source_bytes, source_sha256, normalized_chars, anchor_count, link_count; attempts: keys,
-    status, remote_adapter, authenticated_adapter; stated and there as for `artifact_violations`."""
-    files = artifact_violations(stated, there, keys).select(*keys, F.concat_ws(": ", "failure", "path").alias("failure")).distinct()
-    parts = [files, layout_violations(receipts, stated, keys), path_violations(stated, keys), flag_violations(receipts, attempts, keys), source_violations(receipts, stated, there, keys), file_violations(receipts, stated, there, keys)]
-    return reduce(DataFrame.unionByName, [p.select(*keys, "failure") for p in parts])
+    status, remote_adapter, authenticated_adapter; stated and there as for `artifact_violations`. A bundle becomes one row:
+    each of its files is shuffled once."""
+    gathered = lambda rows, name, *columns: rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(name))
+    parts = [
+        gathered(stated, "stated", "role", "path", "sha256", "bytes"),
+        gathered(there, "there", "path", F.col("body").cast("binary").alias("body")),
+        gathered(attempts, "attempts", "status", "remote_adapter", "authenticated_adapter"),
+    ]
+    rows = receipts.select(*keys, *_RECEIPT, F.lit(True).alias("known"))
+    rows = reduce(lambda out, part: out.join(part, keys, "left" if "attempts" in part.columns else "full_outer"), parts, rows)
+    for part in parts:
+        name = part.columns[-1]
+        rows = rows.withColumn(name, F.coalesce(name, F.filter(F.array(F.lit(None).cast(part.schema[name].dataType.elementType)), lambda x: x.isNotNull())))
+    return packed_violations(rows.withColumn("known", F.coalesce("known", F.lit(False))), keys)
+
+
+def _present(checks: list[tuple[str, Column]]) -> Column:
+    """The names of the checks that hold, as an array."""
+    return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks]), lambda x: x.isNotNull())
+
+
+def _artifact_failures(stated: Column, found: Column) -> Column:
+    """As `artifact_violations`, of one bundle. found: structs of path, bytes, sha."""
+
+    def of(s: Column) -> Column:
+        own = F.filter(found, lambda f: f["path"] == s["path"])
+        checks = [
+            ("duplicate artifact path", F.size(F.filter(stated, lambda o: o["path"] == s["path"])) > 1),
+            ("unsafe artifact path", ~safe_child(s["path"])),
+            ("missing artifact", F.size(own) == 0),
+            ("byte count mismatch", F.exists(own, lambda f: f["bytes"] != s["bytes"])),
+            ("sha256 mismatch", F.exists(own, lambda f: f["sha"] != s["sha256"])),
+        ]
+        return F.transform(_present(checks), lambda x: F.concat_ws(": ", x, s["path"]))
+
+    more = F.filter(found, lambda f: ~F.coalesce(F.exists(stated, lambda s: s["path"] == f["path"]), F.lit(False)))
+    return F.array_distinct(F.concat(F.flatten(F.transform(stated, of)), F.transform(more, lambda f: F.concat_ws(": ", F.lit("unexpected bundle entry"), f["path"]))))
+
+
+def _layout_failures(stated: Column) -> Column:
+    """As `layout_violations` and `path_violations`, of one bundle."""
+    roles = F.array_distinct(F.filter(F.transform(stated, lambda s: s["role"]), lambda r: r.isNotNull()))
+    raw = F.filter(stated, lambda s: s["role"] == "raw")
+    derived = F.size(F.array_intersect(roles, F.array(*[F.lit(r) for r in DERIVED])))
+    checks = [
+        ("duplicate artifact role", F.size(stated) > F.size(roles)),
+        ("bundle must hold exactly one raw artifact", F.size(raw) != 1),
+        ("unexpected raw artifact path", F.exists(raw, lambda s: ~s["path"].rlike(r"^raw\.[a-z]+$"))),
+        ("derived artifacts must appear together", ~derived.isin(0, len(DERIVED))),
+        ("complete receipt must hold derived artifacts", (F.col("status") == "complete") & (derived < len(DERIVED))),
+    ]
+    odd = F.filter(stated, lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in DERIVED_PATHS.items() for x in pair]), s["role"]) != s["path"], F.lit(False)))
+    return F.concat(F.when(F.col("known"), _present(checks)).otherwise(F.array().cast("array<string>")), F.transform(odd, lambda s: F.concat(F.lit("unexpected "), s["role"], F.lit(" artifact path: "), s["path"])))
+
+
+def _receipt_failures(stated: Column, found: Column) -> Column:
+    """As `flag_violations` and `source_violations`, of one bundle."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    used = F.filter("attempts", lambda a: a["status"] != "skipped")
+    remote = yes(F.arrays_overlap("route", F.array(F.lit("jina"), F.lit("firecrawl")))) | yes(F.exists(used, lambda a: a["remote_adapter"]))
+    authenticated = yes(F.array_contains("route", "firecrawl")) | yes(F.exists(used, lambda a: a["authenticated_adapter"]))
+    raw = F.flatten(F.transform(F.filter(stated, lambda s: s["role"] == "raw"), lambda s: F.filter(found, lambda f: f["path"] == s["path"])))
+    one = lambda name: F.get(raw, 0)[name]
+    checks = [
+        ("remote adapter policy flag does not match route", ~F.col("remote_adapter_used").eqNullSafe(remote)),
+        ("authenticated adapter policy flag does not match route", ~F.col("authenticated_adapter_used").eqNullSafe(authenticated)),
+        ("source byte count does not match raw artifact", (F.size(raw) == 1) & ~F.col("source_bytes").eqNullSafe(one("bytes"))),
+        ("source sha256 does not match raw artifact", (F.size(raw) == 1) & ~F.col("source_sha256").eqNullSafe(one("sha"))),
+    ]
+    return F.when(F.col("known"), _present(checks)).otherwise(F.array().cast("array<string>"))
+
+
+def _file_failures(stated: Column, there: Column) -> Column:
+    """As `file_violations`, of one bundle."""
+    empty = F.array().cast("array<string>")
+    some = lambda *checks: F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+    def file(role: str) -> Column:
+        path = F.get(F.filter(stated, lambda s: s["role"] == role), 0)["path"]
+        return bind(F.get(F.filter(there, lambda f: f["path"] == path), 0), lambda f: F.struct(f.isNotNull().alias("there"), F.try_validate_utf8(f["body"].cast("string")).alias("text")))
+
+    def parsed(x: Column) -> Column:
+        rows = F.transform(F.filter(F.split(x["anchors"]["text"], "\n"), lambda v: F.trim(v) != ""), lambda v, k: F.struct((k + 1).alias("n"), F.from_json(v, _ANCHOR).alias("a")))
+        return F.struct(F.coalesce(rows, F.array().cast(f"array<struct<n:int,a:struct<{_ANCHOR.replace(' ', ':')}>>>".replace(",:", ","))).alias("rows"), F.from_json(x["links"]["text"], "array<struct<text:string,url:string>>").alias("links"))
+
+    def fine(r: Column) -> Column:
+        return r["a"]["kind"].isNotNull() & r["a"]["line_start"].isNotNull() & r["a"]["line_end"].isNotNull() & r["a"]["sha256"].isNotNull()
+
+    def mismatch(all_lines: Column, a: Column) -> Column:
+        inside = (a["line_start"] >= 1) & (a["line_end"] >= a["line_start"]) & (a["line_end"] <= F.size(all_lines))
+        part = F.array_join(F.slice(all_lines, F.greatest(a["line_start"], F.lit(1)).cast("int"), F.greatest(a["line_end"] - a["line_start"] + 1, F.lit(0)).cast("int")), "\n")
+        return F.when(~inside, "anchor range invalid").when(sha256(part) != a["sha256"], "anchor sha256 mismatch")
+
+    def of(x: Column) -> Column:
+        held = x["normalized"]["there"] | x["anchors"]["there"] | x["links"]["there"]
+        markdown, listed = x["normalized"]["text"], x["links"]["text"]
+        own = some(
+            F.when(x["normalized"]["there"] & markdown.isNull(), "normalized artifact is not UTF-8"),
+            F.when(x["anchors"]["there"] & x["anchors"]["text"].isNull(), "anchors artifact is not UTF-8"),
+            F.when(~held & (F.col("normalized_chars") != 0), "normalized character count must be zero without derived artifacts"),
+            F.when(held & (F.col("normalized_chars") != F.coalesce(F.length(markdown), F.lit(0))), "normalized character count mismatch"),
+        )
+
+        def rest(y: Column) -> Column:
+            whole = F.coalesce(y["links"].isNotNull() & F.forall(y["links"], lambda v: v["url"].isNotNull() & v["text"].isNotNull()) & F.startswith(F.ltrim(listed), F.lit("[")), F.lit(False))
+            odd = F.transform(F.filter(y["rows"], lambda r: ~F.coalesce(fine(r), F.lit(False))), lambda r: F.concat(F.lit("invalid anchor line "), r["n"].cast("string")))
+            found = F.filter(y["rows"], lambda r: F.coalesce(fine(r), F.lit(False)))
+            counts = some(
+                F.when(x["links"]["there"] & ~whole, "invalid links artifact"),
+                F.when(held & (F.col("anchor_count") != F.size(found)), "anchor count mismatch"),
+                F.when(held & (F.col("link_count") != F.when(whole, F.size(y["links"])).otherwise(0)), "link count mismatch"),
+            )
+            wrong = bind(lines(markdown), lambda v: F.filter(F.transform(found, lambda r: mismatch(v, r["a"])), lambda m: m.isNotNull()))
+            return F.concat(odd, counts, F.when(markdown.isNotNull(), wrong).otherwise(empty))
+
+        return F.concat(own, bind(parsed(x), rest))
+
+    return bind(F.struct(*[file(r).alias(r) for r in DERIVED]), of)
+
+
+def packed_violations(bundles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, failure: every rule of evidence bundles, each of which is one row; nothing is shuffled.
+
+    bundles: keys, known (whether there is a receipt), the columns of receipts as in `bundle_violations`, and arrays of
+    structs: stated (role, path, sha256, bytes), there (path, body: binary), attempts (status, remote_adapter,
+    authenticated_adapter).
+    """
+    facts = F.transform("there", lambda f: F.struct(f["path"].alias("path"), F.octet_length(f["body"]).cast("long").alias("bytes"), F.sha2(f["body"], 256).alias("sha")))
+    stated = F.col("stated")
+    of = bind(facts, lambda found: F.concat(_artifact_failures(stated, found), _layout_failures(stated), _receipt_failures(stated, found), _file_failures(stated, F.col("there"))))
+    return bundles.select(*keys, F.explode(of).alias("failure"))
 
 
 def state_digests(pages: DataFrame) -> DataFrame:

@@ -101,3 +101,46 @@ def test_addresses_and_names_of_a_policy(spark):
     assert [r.block_reason for r in free.collect()] == [None, None]
     assert rows["ftp://open.example/"].error_code == "invalid_input" and rows["https://u:p@open.example/"].error_code == "policy_blocked"
     assert spark.createDataFrame([("https://h",)], "u string").select(F.isnull(urls.ascii_url(F.lit(None).cast("string"))).alias("x")).first().x
+
+
+def test_bundles_of_one_reader_are_verified_without_a_shuffle(spark):
+    from lodestone import catalog
+
+    plan = catalog.queries()["bundle_verification"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_bundles_as_rows_break_the_rules_that_tables_do(spark):
+    from lodestone.operators import verify
+
+    markdown = "# H\n\ntext\n"
+    line = fetch.anchor_lines(markdown)
+    good = {"raw.txt": b"r", "normalized.md": markdown.encode(), "anchors.jsonl": "".join(x + "\n" for x in line).encode(), "links.json": b"[]\n"}
+    roles = {"raw": "raw.txt", "normalized": "normalized.md", "anchors": "anchors.jsonl", "links": "links.json"}
+    changed = {  # what is stored, what is stated, the receipt
+        "good": ({}, {}, {}),
+        "bytes": ({"normalized.md": b"\xff\n", "anchors.jsonl": b"\xff"}, {}, {}),
+        "lines": ({"normalized.md": b"# G\n", "anchors.jsonl": b"\n{}\n" + good["anchors.jsonl"]}, {}, {}),
+        "links": ({"links.json": b'[{"text":"t"}]'}, {}, {"link_count": 2}),
+        "lone": ({"normalized.md": None, "anchors.jsonl": None, "links.json": None, "more": b"m"}, {}, {}),
+        "paths": ({}, {"normalized": "../n.md", "links": "anchors.jsonl"}, {"source_bytes": 7}),
+        "flags": ({"raw.txt": b"rr"}, {"raw": "RAW"}, {"route": ["jina"], "authenticated_adapter_used": True}),
+    }
+    import hashlib
+
+    stored, stated, receipts, tries = [], [], [], []
+    for name, (files, paths, receipt) in changed.items():
+        stored += [(name, p, b) for p, b in (good | files).items() if b is not None]
+        stated += [(name, r, paths.get(r, p), hashlib.sha256(good[p]).hexdigest(), len(good[p])) for r, p in roles.items()]
+        base = {"status": "complete", "route": ["direct"], "remote_adapter_used": False, "authenticated_adapter_used": False, "source_bytes": 1, "source_sha256": hashlib.sha256(b"r").hexdigest(), "normalized_chars": len(markdown), "anchor_count": len(line), "link_count": 0}
+        receipts.append((name, *(base | receipt).values()))
+        tries += [(name, "success", False, False), (name, "skipped", True, True)]
+    stated += [("good", "raw", "raw.txt", "x", 1), ("no receipt", "raw", "raw.txt", "x", 1)]
+    stored.append(("not stated", "raw.txt", b""))
+    r = spark.createDataFrame(receipts, "url string, status string, route array<string>, remote_adapter_used boolean, authenticated_adapter_used boolean, source_bytes long, source_sha256 string, normalized_chars long, anchor_count long, link_count long")
+    s, t = spark.createDataFrame(stated, "url string, role string, path string, sha256 string, bytes long"), spark.createDataFrame(stored, "url string, path string, body binary")
+    a = spark.createDataFrame(tries, "url string, status string, remote_adapter boolean, authenticated_adapter boolean")
+    files = verify.artifact_violations(s, t, ["url"]).selectExpr("url", "concat_ws(': ', failure, path) AS failure").distinct()
+    want = [files, verify.layout_violations(r, s, ["url"]), verify.path_violations(s, ["url"]), verify.flag_violations(r, a, ["url"]), verify.source_violations(r, s, t, ["url"]), verify.file_violations(r, s, t, ["url"])]
+    want = sorted((x.url, x.failure) for part in want for x in part.collect())
+    assert sorted((x.url, x.failure) for x in verify.bundle_violations(r, s, t, a, ["url"]).collect()) == want and len({f for _, f in want}) > 20
