@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Weight of results, in characters, after which a Python worker passes them on.
+PASSED_ON = 500_000
+
+
+def row_by_row(batches: Iterable[tuple[pa.Array, ...]], make: Callable, weigh: Callable[[object], int], kind: pa.DataType) -> Iterator[pa.Array]:
+    """`make` of each row of Arrow columns. Rows are read one at a time and results passed on as soon as they weigh
+    PASSED_ON, so a worker's memory doesn't follow the size of its batches."""
+    made, held = [], 0
+    for columns in batches:
+        for row in zip(*columns, strict=True):
+            out = make(*(v.as_py() for v in row))
+            made.append(out)
+            held += weigh(out)
+            if held >= PASSED_ON:
+                yield pa.array(made, kind)
+                made, held = [], 0
+        if made:
+            yield pa.array(made, kind)
+            made, held = [], 0
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 

@@ -144,3 +144,15 @@ def test_bundles_as_rows_break_the_rules_that_tables_do(spark):
     want = [files, verify.layout_violations(r, s, ["url"]), verify.path_violations(s, ["url"]), verify.flag_violations(r, a, ["url"]), verify.source_violations(r, s, t, ["url"]), verify.file_violations(r, s, t, ["url"])]
     want = sorted((x.url, x.failure) for part in want for x in part.collect())
     assert sorted((x.url, x.failure) for x in verify.bundle_violations(r, s, t, a, ["url"]).collect()) == want and len({f for _, f in want}) > 20
+
+
+def test_workers_pass_results_on_before_a_batch_ends():
+    import pyarrow as pa
+
+    from lodestone.session import PASSED_ON
+
+    n, text = 40, "word " * (PASSED_ON // 50)
+    columns = [pa.array([v] * n) for v in (text.encode(), "text/plain", "https://h.example/", None, "direct")]
+    parts = list(fetch._normalized.func(iter([columns])))
+    assert [len(p) for p in parts] != [n] and sum(map(len, parts)) == n and max(p.nbytes for p in parts) < 3 * PASSED_ON
+    assert list(fetch._normalized.func(iter([]))) == []
