@@ -6,16 +6,21 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.ids import anchor_id, sha256
 from lodestone.functions.text import collapse, lines, numbered_lines, strip
+from lodestone.session import row_by_row
 
 HEADING = r"^#{1,6}\s+"
 ITEM = r"^(?:[-*+]\s+|\d+[.)]\s+)"
 PREVIEW = 240
+_BLOCK = T.StructType([T.StructField(n, T.LongType() if n.startswith("line_") else T.StringType()) for n in ("kind", "heading", "line_start", "line_end", "sha256", "preview")])
+_BLOCKS = T.ArrayType(_BLOCK)
 
 
 def line_kind(line: Column) -> Column:
@@ -88,13 +93,11 @@ def fenced_anchors(docs: DataFrame, keys: list[str], text_col: str = "markdown")
 
     The state of a fence runs from line to line, so each document is cut in Python, in Arrow batches.
     """
-    schema = "array<struct<kind:string,heading:string,line_start:bigint,line_end:bigint,sha256:string,preview:string>>"
 
-    @F.pandas_udf(schema)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ("kind", "heading", "line_start", "line_end", "sha256", "preview")
-        for texts in batches:
-            yield pd.Series([[dict(zip(names, b, strict=True)) for b in cut_blocks(t)] if t is not None else [] for t in texts], dtype="object")
+    @F.arrow_udf(_BLOCKS)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        blocks = lambda t: [dict(zip(_BLOCK.names, b, strict=True)) for b in cut_blocks(t)] if t is not None else []
+        return row_by_row(((b,) for b in batches), blocks, lambda out: 1 + sum(100 + len(b["preview"]) for b in out), to_arrow_type(_BLOCKS))
 
     rows = docs.select(*keys, F.posexplode(cut(F.col(text_col))).alias("pos", "b"))
     return rows.select(*keys, F.col("pos").cast("long").alias("pos"), anchor_id(F.col("b.sha256")).alias("anchor_id"), "b.*")

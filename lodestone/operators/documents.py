@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.ids import media_type, raw_name, receipt_id, sha256
+from lodestone.session import row_by_row
 
 MIN_CHARS = 160
 DROPPED = {"script", "style", "noscript", "template", "svg"}
@@ -180,65 +182,88 @@ def convert(markup: str, base: str = "", scope: str = "content") -> dict:
     of the content, or of the whole document.
     """
     root = parse(markup)
-    body, title = root.find("body"), root.find("title")
+    title, content = root.find("title"), _content(root)
+    links = _links(root if scope == "document" else content, base)
+    markdown = clean(re.sub(r"[ ]{2,}(?!\n)", " ", _markdown(content, base)))
+    name = title.text() if title else None
+    if not name:
+        found = re.search(r"(?m)^#\s+(.+?)\s*$", markdown)
+        name = found[1] if found else None
+    return {"title": name, "markdown": markdown, "links": links, "warnings": ["decode_replacement_characters_present"] if "�" in markdown else []}
+
+
+def _content(root: _Node) -> _Node:
+    body = root.find("body")
     content = next((n for n in map(root.find, CONTAINERS) if n), root)
-    if len(content.text()) < MIN_CHARS and body:
-        content = body
+    return body if len(content.text()) < MIN_CHARS and body else content
+
+
+def _links(within: _Node, base: str) -> list[dict]:
     links = {}
-    for a in (root if scope == "document" else content).walk():
+    for a in within.walk():
         if isinstance(a, _Node) and a.tag == "a" and a.attrs.get("href"):
             try:
                 url = urljoin(base, a.attrs["href"])
             except ValueError:
                 continue
-            if a.text() and url.startswith(("http://", "https://")):
-                links[a.text(), url] = None
-    markdown = clean(re.sub(r"[ ]{2,}(?!\n)", " ", _markdown(content, base)))
-    name = title.text() if title else None
-    if not name:
-        found = re.search(r"(?m)^#\s+(.+?)\s*$", markdown)
-        name = found[1] if found else None
-    return {"title": name, "markdown": markdown, "links": [{"text": t, "url": u} for t, u in links], "warnings": ["decode_replacement_characters_present"] if "�" in markdown else []}
+            if url.startswith(("http://", "https://")) and (text := a.text()):
+                links[text, url] = None
+    return [{"text": t, "url": u} for t, u in links]
+
+
+def links_of_html(markup: str, base: str = "", scope: str = "content") -> list[dict]:
+    """The links of `convert` alone."""
+    root = parse(markup)
+    return _links(root if scope == "document" else _content(root), base)
+
+
+_LINKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("url", T.StringType())]))
+_CONVERTED = T.StructType([T.StructField("title", T.StringType()), T.StructField("markdown", T.StringType()), T.StructField("links", _LINKS), T.StructField("warnings", T.ArrayType(T.StringType()))])
+
 
+def _weight(links: list[dict]) -> int:
+    return 1 + sum(len(x["text"]) + len(x["url"]) for x in links)
 
-_CONVERTED = "struct<title:string,markdown:string,links:array<struct<text:string,url:string>>,warnings:array<string>>"
 
+@F.arrow_udf(_CONVERTED)
+def _converted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    return row_by_row(batches, lambda m, b: convert(m or "", b or ""), lambda out: len(out["markdown"]) + _weight(out["links"]), to_arrow_type(_CONVERTED))
 
-def _converted(scope: str):
-    @F.pandas_udf(_CONVERTED)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for markup, base in batches:
-            yield pd.DataFrame([convert(m or "", b or "", scope) for m, b in zip(markup, base, strict=True)], columns=["title", "markdown", "links", "warnings"])
+
+def _linked(scope: str):
+    @F.arrow_udf(_LINKS)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return row_by_row(batches, lambda m, b: links_of_html(m or "", b or "", scope), _weight, to_arrow_type(_LINKS))
 
     return run
 
 
 def html_markdown(pages: DataFrame, keys: list[str], html_col: str = "html", base_col: str = "url") -> DataFrame:
     """keys, title, markdown, n_links, warnings. No native form reads HTML, so pages pass through Arrow batches."""
-    rows = pages.select(*keys, _converted("content")(F.col(html_col), F.col(base_col)).alias("d"))
+    rows = pages.select(*keys, _converted(F.col(html_col), F.col(base_col)).alias("d"))
     return rows.select(*keys, "d.title", "d.markdown", F.size("d.links").cast("long").alias("n_links"), F.array_join("d.warnings", ",").alias("warnings"))
 
 
 def html_links(pages: DataFrame, keys: list[str], html_col: str = "html", base_col: str = "url", *, scope: str = "content") -> DataFrame:
     """keys, pos, text, url: links in order, the first of each text and target."""
-    rows = pages.select(*keys, F.posexplode(_converted(scope)(F.col(html_col), F.col(base_col))["links"]).alias("pos", "link"))
+    rows = pages.select(*keys, F.posexplode(_linked(scope)(F.col(html_col), F.col(base_col))).alias("pos", "link"))
     return rows.select(*keys, F.col("pos").cast("long").alias("pos"), "link.text", "link.url")
 
 
-@F.pandas_udf(T.StringType())
-def json_markdown(values: pd.Series) -> pd.Series:
-    """JSON with sorted keys and indents, fenced; what is no JSON is kept as it is."""
+def _fenced_json(raw: str | None) -> str | None:
+    if raw is None:
+        return None
+    try:
+        body = json.dumps(json.loads(raw), ensure_ascii=False, indent=2, sort_keys=True)
+    except ValueError:
+        body = raw
+    return f"```json\n{body}\n```\n"
 
-    def one(raw):
-        if raw is None:
-            return None
-        try:
-            body = json.dumps(json.loads(raw), ensure_ascii=False, indent=2, sort_keys=True)
-        except ValueError:
-            body = raw
-        return f"```json\n{body}\n```\n"
 
-    return values.map(one)
+@F.arrow_udf(T.StringType())
+def json_markdown(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """JSON with sorted keys and indents, fenced; what is no JSON is kept as it is."""
+    return row_by_row(((b,) for b in batches), _fenced_json, lambda out: len(out or ""), pa.string())
 
 
 def normalizer(content_type: Column) -> Column:

@@ -149,10 +149,15 @@ def test_bundles_as_rows_break_the_rules_that_tables_do(spark):
 def test_workers_pass_results_on_before_a_batch_ends():
     import pyarrow as pa
 
+    from lodestone.operators import documents
     from lodestone.session import PASSED_ON
 
     n, text = 40, "word " * (PASSED_ON // 50)
     columns = [pa.array([v] * n) for v in (text.encode(), "text/plain", "https://h.example/", None, "direct")]
     parts = list(fetch._normalized.func(iter([columns])))
     assert [len(p) for p in parts] != [n] and sum(map(len, parts)) == n and max(p.nbytes for p in parts) < 3 * PASSED_ON
-    assert list(fetch._normalized.func(iter([]))) == []
+    page = "".join(f"<a href='/{'p' * 90}{i}'>link {i}</a>" for i in range(1000))
+    for made in (documents._linked("document"), documents._converted):
+        parts = list(made.func(iter([(pa.array([page] * n), pa.array(["https://h.example/"] * n))])))
+        assert len(parts) > 5 and sum(map(len, parts)) == n and max(p.nbytes for p in parts) < 3 * PASSED_ON
+    assert list(fetch._normalized.func(iter([]))) == [] and documents.links_of_html(page, "https://h.example/") == documents.convert(page, "https://h.example/")["links"]
