@@ -1,10 +1,12 @@
 """Search of a corpus for a table of queries: exact lines first, relaxed ones where there are none.
 
-Queries are a table throughout. Their distinct terms are sought in the vocabulary of the texts: its words are cut into
-pairs and triples of characters, which meet the terms that begin with them by an equi-join; the words that hold a term
-then meet the texts, of which the lines that hold each term are stored. Queries meet files by the terms that they share, so no text is tried for a query that
-has none of its terms; scores of relaxed lines follow from the stored lines alone. Texts are read again only for the
-pairs in which one line may hold the whole query, and for the ranked results; they are never shuffled for small sets.
+Up to SCANNED_QUERIES queries are known to every task, and files are scanned for all of them in one pass (`line_scan`); no
+text, line or pair is shuffled. More queries remain a table: their distinct terms are sought in the vocabulary of the
+texts, whose words are cut into pairs and triples of characters, which meet the terms that begin with them by an equi-join;
+the words that hold a term then meet the texts, of which the lines that hold each term are stored. Queries meet files by
+the terms that they share, so no text is tried for a query that has none of its terms; scores of relaxed lines follow from
+the stored lines alone. Texts are read again only for the pairs in which one line may hold the whole query, and for the
+ranked results; they are never shuffled for small sets. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions import query as Q
 from lodestone.functions.text import bind, compact, fold, lines, strip
+from lodestone.operators.line_scan import scanner
 from lodestone.session import cut_lineage
 
 LINES_PER_FILE = 8
@@ -25,6 +30,8 @@ SNIPPET = 500
 FEW = 50_000
 #: Terms so few that every line is scanned for each of them.
 SCANNED = 24
+#: Queries so few that all are scanned for in one pass over the files.
+SCANNED_QUERIES = 4096
 
 
 def workspace(docs: DataFrame) -> DataFrame:
@@ -135,6 +142,7 @@ def _paired(post: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
+_FOUND = (("path", T.StringType()), ("relaxed", T.BooleanType()), ("total", T.DoubleType()), ("line_no", T.LongType()), ("line", T.StringType()), ("weight", T.DoubleType()), ("matched_terms", T.StringType()), ("n_found", T.LongType()), ("matched_line_count", T.LongType()))
 _RANKED = ("query_id", "query", "tokens", "path", "relevance_score", "line_no", "best_line_weight", "matched_terms", "term_coverage", "matched_line_count")
 
 
@@ -156,6 +164,8 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
         raise ValueError("case_mode is fold or smart")
     smart = case_mode == "smart"
     plans = cut_lineage(planned(queries))
+    if plans.count() <= SCANNED_QUERIES:
+        return _results(_scan(files, plans, limit, smart, relaxed, cut))
     few = plans.count() * Q.MOST_TOKENS <= FEW
 
     def small(rows: DataFrame) -> DataFrame:
@@ -219,6 +229,28 @@ def search(files: DataFrame, queries: DataFrame, limit: int = 8, *, case_mode: s
     columns = [*_RANKED, "snippet", "rank", "relaxed"]
     parts = [x.select(*columns) for x in (exact, loose) if x is not None]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _results(rows)
+
+
+def _scan(files: DataFrame, plans: DataFrame, limit: int, smart: bool, relaxed: bool | None, cut: Callable[[Column], Column]) -> DataFrame:
+    """What `search` ranks, in one pass over the files; the queries are few enough for each task to know them all."""
+    pattern = F.array_join(F.slice("tokens", 1, Q.PATTERN_TOKENS), "|")
+    strict = F.lit(smart) & (pattern != F.lower(pattern))
+    known = plans.select("query_id", "query", "tokens", "terms", "folded", (~F.lit(smart) | (F.col("query") == F.lower("query"))).alias("plain"), F.when(strict, F.slice("tokens", 1, Q.PATTERN_TOKENS)).alias("written"))
+    shape = T.StructType([plans.schema["query_id"], *[T.StructField(n, k) for n, k in _FOUND]])
+    run = scanner([r.asDict(True) for r in known.collect()], limit, LINES_PER_FILE, Q.PATTERN_TOKENS if smart else None, relaxed, to_arrow_schema(shape))
+    files = files.filter((F.octet_length("text") <= MOST_BYTES) & F.col("path").isNotNull())
+    rows = files.select("path", fold(F.col("path")).alias("name"), cut(F.col("text")).alias("lines"), cut(fold(F.col("text"))).alias("folded")).mapInArrow(run, shape)
+    if relaxed is None:  # relaxed rows only for queries without exact ones
+        rows = rows.withColumn("_first", F.min("relaxed").over(Window.partitionBy("query_id"))).filter("relaxed = _first")
+    elif not relaxed:
+        rows = rows.filter("not relaxed")
+    rows = cut_lineage(_top(rows.withColumn("relevance_score", F.round("total", 2)), limit)).join(F.broadcast(plans.select("query_id", "query", "tokens")), "query_id")
+    n = F.size("tokens")
+    return rows.withColumns({"best_line_weight": F.round("weight", 2), "snippet": strip(F.col("line")), "term_coverage": F.when(n > 0, F.round(F.col("n_found") / n, 3)).otherwise(0.0)})
+
+
+def _results(rows: DataFrame) -> DataFrame:
     return rows.select(
         "query_id",
         "rank",

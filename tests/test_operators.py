@@ -68,6 +68,50 @@ def test_search_is_the_loop_over_pairs(spark, monkeypatch, scanned):
     assert sorted((x.query_id, x["rank"], x.path, x.line_no, x.relevance_score, x.matched_terms, x.matched_line_count, x.query_relaxed) for x in got) == loop_search(files, queries, 4)
 
 
+def test_search_of_few_and_of_many_queries_give_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    words = "ab abc bcd Straße STRASSE ΟΔΟΣ οδος ﬁn code Code search xx.y a-b 漢字 漢字仮名 ! -- É Ab".split() + ["q" * 70, "b" * 9000]
+    files = [(f"{r.choice(words[:-2])}/{i}.txt", r.choice(["\n", "\r\n", "\u2028"]).join(" ".join(r.choice(words) for _ in range(r.randrange(6))) for _ in range(r.randrange(40)))) for i in range(60)]
+    queries = [(i, " ".join(r.choice(words[:-1]) for _ in range(r.randrange(1, 6)))) for i in range(40)] + [(90, "!"), (91, ""), (92, "--  !"), (93, "ab " * 20), (94, "Ab code"), (95, "qq bb"), (96, "Code! É")]
+    files, queries = spark.createDataFrame(files, "path string, text string"), spark.createDataFrame(queries, "query_id long, query string")
+    for case_mode, relaxed in (("fold", None), ("smart", None), ("smart", True), ("fold", False)):
+        both = []
+        for most in (4096, 0):
+            monkeypatch.setattr(search, "SCANNED_QUERIES", most)
+            both.append(sorted(map(str, search.search(files, queries, 3, case_mode=case_mode, relaxed=relaxed).collect())))
+        assert both[0] == both[1] and len(both[0]) > 20
+
+
+def test_search_passes_on_the_best_files_of_a_task_alone():
+    import pyarrow as pa
+
+    from lodestone.operators.line_scan import scanner
+
+    plans = [{"query_id": i, "query": f"ab cd y{i}", "folded": f"ab cd y{i}", "tokens": ["ab", "cd", f"y{i}"], "terms": [{"term": t, "weight": 1.0} for t in ("ab", "cd", f"y{i}")], "plain": True, "written": None} for i in range(50)]
+    kinds = {"query_id": pa.int64(), "path": pa.string(), "relaxed": pa.bool_(), "total": pa.float64(), "line_no": pa.int64(), "line": pa.string(), "weight": pa.float64(), "matched_terms": pa.string(), "n_found": pa.int64(), "matched_line_count": pa.int64()}
+    files = pa.RecordBatch.from_pylist([{"path": f"{i:03}", "name": f"{i:03}", "lines": ["Ab cd"], "folded": ["ab cd"]} for i in range(400)])
+    out = list(scanner(plans, 2, 8, None, None, pa.schema(kinds.items()))(iter([files])))
+    assert sorted((r["query_id"], r["path"]) for b in out for r in b.to_pylist()) == [(i, p) for i in range(50) for p in ("000", "001")]
+
+
+def test_scans_in_small_blocks_give_the_same(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.operators import line_scan
+
+    r = random.Random(6)
+    words = "ab abc bcd cd da x yy zz abcd".split()
+    plans = [{"query_id": i, "query": (q := " ".join(t)), "folded": q, "tokens": t, "terms": [{"term": x, "weight": r.choice([0.25, 1.0])} for x in t], "plain": i % 3 > 0, "written": t[:2] if i % 4 == 0 else None} for i, t in enumerate([list(dict.fromkeys(r.choice(words) for _ in range(r.randrange(1, 4)))) for _ in range(30)])]
+    lines = [[" ".join(r.choice(words) for _ in range(r.randrange(5))) for _ in range(r.randrange(60))] for _ in range(50)]
+    files = pa.RecordBatch.from_pylist([{"path": f"{i:03}", "name": f"ab{i:03}", "lines": v, "folded": v} for i, v in enumerate(lines)])
+    kinds = {"query_id": pa.int64(), "path": pa.string(), "relaxed": pa.bool_(), "total": pa.float64(), "line_no": pa.int64(), "line": pa.string(), "weight": pa.float64(), "matched_terms": pa.string(), "n_found": pa.int64(), "matched_line_count": pa.int64()}
+    scan = lambda: sorted(str(x) for b in line_scan.scanner(plans, 3, 8, 6, None, pa.schema(kinds.items()))(iter([files])) for x in b.to_pylist())
+    whole = scan()
+    for name, value in (("LINES", 7), ("QUERIES", 4), ("KEPT_BYTES", 2000), ("KEPT_WORD", 2)):
+        monkeypatch.setattr(line_scan, name, value)
+        assert scan() == whole and len(whole) > 100
+
+
 def test_search_plan_has_no_nested_loop(spark):
     files = spark.createDataFrame([("a", "x yy zz")], "path string, text string")
     plan = search.search(files, spark.createDataFrame([(1, "yy zz")], "query_id long, query string"))._jdf.queryExecution().toString()
